@@ -14,7 +14,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,6 +23,8 @@ from ..tables import written
 
 DELTA = 200
 SALTS = 16
+#: Rounds of narrowing the bounds by digests.
+ROUNDS = 4
 #: Values or centroids that a task gathers before it clusters them.
 GATHER = 400_000
 
@@ -42,6 +44,10 @@ class Centroids:
             return self
         order = np.lexsort((self.high, self.low, self.mean, self.g))
         g, mean, count, low, high = (x[order] for x in (self.g, self.mean, self.count, self.low, self.high))
+        # equal values are one exact centroid
+        same = (g[1:] == g[:-1]) & (mean[1:] == mean[:-1]) & (low[1:] == high[1:]) & (low[:-1] == high[:-1])
+        at = np.flatnonzero(np.append(True, ~same))
+        g, mean, low, high, count = g[at], mean[at], low[at], high[at], np.add.reduceat(count, at)
         first = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
         total = np.add.reduceat(count, first)
         size = np.diff(np.append(first, len(g)))
@@ -49,9 +55,7 @@ class Centroids:
         begun = np.repeat(upto[first] - count[first], size)
         q = (upto - begun - count / 2) / np.repeat(total, size)
         k = np.floor(delta / (2 * np.pi) * np.arcsin(np.clip(2 * q - 1, -1, 1)) + delta / 4)
-        # equal values share a centroid, which keeps it exact
-        new = np.append(True, (g[1:] != g[:-1]) | ((k[1:] != k[:-1]) & ~((mean[1:] == mean[:-1]) & (low[1:] == high[1:]) & (low[:-1] == high[:-1]))))
-        at = np.flatnonzero(new)
+        at = np.flatnonzero(np.append(True, (g[1:] != g[:-1]) | (k[1:] != k[:-1])))
         n = np.add.reduceat(count, at)
         lo, hi = np.minimum.reduceat(low, at), np.maximum.reduceat(high, at)
         m = mean[at] + np.add.reduceat((mean - np.repeat(mean[at], np.diff(np.append(at, len(g))))) * count, at) / n
@@ -198,7 +202,7 @@ def _read(keys: Sequence[str], qs: Sequence[int]):
                     lo = hi = p
                     if not exact:
                         lo, hi = low[a][np.searchsorted(low_n, r)], high[b][np.searchsorted(high_n, r)]
-                        p = min(max(p, lo), hi)
+                        p = min(max(np.interp(r - 0.5, upto - count / 2, mean), lo), hi)
                     out[i, 1 + 3 * j : 4 + 3 * j] = lo, p, hi
             cols = [pa.array(out[:, 0].astype(np.int64))] + [pa.array(out[:, c]) for c in range(1, out.shape[1])]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), *cols], [*keys, *_names(qs)])
@@ -241,7 +245,8 @@ def skewed(df: DataFrame, keys: Sequence[str] = ("track_id", "chrom"), value: st
     """``(keys...)`` of the keys with ``least`` valued rows or more, ``p50 > 0`` and ``p95 >= factor * p50``, exactly.
 
     The digests' certain bounds decide nearly all keys. For the others the rows between the bounds are counted and digested
-    again, which narrows the bounds about ``delta``-fold a round, until every key is decided.
+    again, which narrows the bounds about ``delta``-fold a round; after ``ROUNDS`` rounds the few distinct values left
+    between the bounds are counted one by one.
     """
     keys = list(keys)
     b = written(percentiles(digest(df, keys, value, delta), keys, (50, 95)).where(F.col("n") >= least).drop("p50", "p95"), "bounds")
@@ -250,16 +255,21 @@ def skewed(df: DataFrame, keys: Sequence[str] = ("track_id", "chrom"), value: st
     done = [b.where(yes).select(*keys)]
     open_ = b.where(~yes & ~no)
     values = _valued(df, keys, value).select(F.struct(*keys).alias("_k"), "_v")
+    rounds = 0
     while not open_.isEmpty():
+        rounds += 1
         left = open_.select(F.struct(*keys).alias("_k"), "n", "lo50", "hi50", "lo95", "hi95")
         rows = join_on(values, left, ["_k"], "inner")
         each = rows.select("_k", "n", "_v", F.explode(F.array(*[F.struct(F.lit(q).alias("q"), F.col(f"lo{q}").alias("lo"), F.col(f"hi{q}").alias("hi")) for q in (50, 95)])).alias("_b"))
         each = each.select("_k", F.col("_b.q").alias("_q"), "n", F.col("_b.lo").alias("_lo"), F.col("_b.hi").alias("_hi"), "_v").where("_v <= _hi")
         below = each.groupBy("_k", "_q", "n").agg(F.sum(F.when(F.col("_v") < F.col("_lo"), 1).otherwise(0)).cast("bigint").alias("_below"))
         inner = each.where("_v >= _lo").select("_k.*", "_q", "_v")
-        again = merge(inner.mapInArrow(_make([*keys, "_q"], delta), _schema(inner, [*keys, "_q"])), [*keys, "_q"], delta)
-        again = again.select(F.struct(*keys).alias("_k"), "_q", "digest")
-        near = join_on(below, again, ["_k", "_q"], "inner").mapInArrow(_narrowed, T.StructType([below.schema["_k"], below.schema["_q"], below.schema["n"], T.StructField("lo", T.DoubleType()), T.StructField("hi", T.DoubleType())]))
+        if rounds > ROUNDS:
+            near = _ranked(below, inner, keys)
+        else:
+            again = merge(inner.mapInArrow(_make([*keys, "_q"], delta), _schema(inner, [*keys, "_q"])), [*keys, "_q"], delta)
+            again = again.select(F.struct(*keys).alias("_k"), "_q", "digest")
+            near = join_on(below, again, ["_k", "_q"], "inner").mapInArrow(_narrowed, T.StructType([below.schema["_k"], below.schema["_q"], below.schema["n"], T.StructField("lo", T.DoubleType()), T.StructField("hi", T.DoubleType())]))
         at = lambda c, q: F.max(F.when(F.col("_q") == q, F.col(c))).alias(f"{c}{q}")
         b = written(near.groupBy("_k", "n").agg(at("lo", 50), at("hi", 50), at("lo", 95), at("hi", 95)).select("_k.*", "n", "lo50", "hi50", "lo95", "hi95"), "bounds")
         done.append(b.where(yes).select(*keys))
@@ -270,6 +280,15 @@ def skewed(df: DataFrame, keys: Sequence[str] = ("track_id", "chrom"), value: st
     return out
 
 
+def _ranked(below: DataFrame, inner: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The exact percentile of each key from the counts of its distinct values between the bounds."""
+    w = Window.partitionBy("_k", "_q").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    n = inner.groupBy(F.struct(*keys).alias("_k"), "_q", "_v").agg(F.count(F.lit(1)).alias("_c")).withColumn("_upto", F.sum("_c").over(w))
+    both = join_on(n, below, ["_k", "_q"], "inner")
+    v = F.min(F.when(F.col("_below") + F.col("_upto") >= F.ceil(F.col("n") * F.col("_q") / 100), F.col("_v")))
+    return both.groupBy("_k", "_q", "n").agg(v.alias("lo"), v.alias("hi"))
+
+
 def _narrowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         bounds = np.zeros((batch.num_rows, 2))
