@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..tables import table
-from . import digests, packing, runs, tokens
+from . import digests, packing, repetition, runs, tokens
 
 RUNS_SQL = """
 WITH e AS (SELECT track_id, chrom, st, ed, min(CASE WHEN isnan(val) THEN NULL ELSE val END) v FROM step_signal
@@ -19,6 +19,15 @@ WITH v AS (SELECT track_id, chrom, val FROM bed_signal WHERE chrom IS NOT NULL A
 p AS (SELECT track_id, chrom, count(*) n, quantile_disc(val, 0.5) p50, quantile_disc(val, 0.95) p95 FROM v GROUP BY ALL)
 SELECT track_id, chrom FROM p WHERE n >= 30 AND p50 > 0 AND p95 >= 6 * p50"""
 
+REPEATED_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{Nd}]+') l FROM documents WHERE text IS NOT NULL),
+s AS (SELECT doc_id, len(l) n, unnest(l) w, generate_subscripts(l, 1) i FROM w WHERE len(l) >= 50),
+h AS (SELECT doc_id, n, i, w || ' ' || lead(w, 1) OVER o || ' ' || lead(w, 2) OVER o || ' ' || lead(w, 3) OVER o || ' ' || lead(w, 4) OVER o || ' ' || lead(w, 5) OVER o || ' ' || lead(w, 6) OVER o || ' ' || lead(w, 7) OVER o q FROM s WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+g AS (SELECT doc_id, n, i, row_number() OVER (PARTITION BY doc_id, q ORDER BY i) k FROM h WHERE q IS NOT NULL),
+c AS (SELECT doc_id, n, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) p FROM g WHERE k > 1),
+t AS (SELECT doc_id, n, sum(least(8, i - coalesce(p, i - 8))) m FROM c GROUP BY ALL)
+SELECT doc_id FROM t WHERE m * 100 >= n * 60"""
+
 
 def queries() -> dict:
     def signal(spark, d):
@@ -48,6 +57,8 @@ def queries() -> dict:
         "p7_decoded": lambda spark, d: tokens.decode(tokens.encode(docs(spark, d))),
         "p8_found": lambda spark, d: packing.split_items(assigned(spark, d)),
         "p8_containers": assigned,
+        "p9_found": lambda spark, d: repetition.repetitive(docs(spark, d)),
+        "p9_perplexity": lambda spark, d: repetition.judged(docs(spark, d)),
     }
 
 
@@ -56,5 +67,6 @@ def oracle_sql() -> dict[str, str]:
         "p4_found": RUNS_SQL + " SELECT track_id, chrom, run_st, run_ed FROM r WHERE n >= 3 AND valued",
         "p4_runs": RUNS_SQL + " SELECT * FROM r",
         "p6_found": QUANTILE_SQL,
+        "p9_found": REPEATED_SQL,
         "p7_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     }
