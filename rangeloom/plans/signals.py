@@ -1,4 +1,4 @@
-"""Queries on the composite signal of step_signal and the regions of query_regions; and their SQL."""
+"""Queries on the composite signal of bed_signal and the regions of query_regions; and their SQL."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from ..operators.joins import overlap_join
 from ..tables import table
 
 SIGNAL = """
-WITH once AS (SELECT track_id, chrom, st, ed, min(CAST(round(val * 1000) AS BIGINT)) u FROM step_signal
+WITH once AS (SELECT track_id, chrom, st, ed, min(CAST(round(val * 1000) AS BIGINT)) u FROM bed_signal
               WHERE chrom IS NOT NULL AND st < ed AND val IS NOT NULL AND NOT isnan(val) GROUP BY ALL),
 ev AS (SELECT chrom, p, sum(u)::BIGINT u, sum(d)::BIGINT d FROM (SELECT chrom, st p, u, 1 d FROM once UNION ALL SELECT chrom, ed, -u, -1 FROM once) GROUP BY ALL),
 lv AS (SELECT chrom, p st, lead(p) OVER w ed, sum(u) OVER w u, sum(d) OVER w d FROM ev WINDOW w AS (PARTITION BY chrom ORDER BY p)),
@@ -17,11 +17,12 @@ s AS (SELECT chrom, st, ed, u::BIGINT u, u / 1000.0::DOUBLE val FROM lv WHERE d
 c AS (SELECT *, row_number() OVER w - 1 idx, coalesce(sum(ed - st) OVER b, 0)::BIGINT cov0, coalesce(sum(u * (ed - st)) OVER b, 0)::BIGINT sum0,
              coalesce(sum(u::HUGEINT * u * (ed - st)) OVER b, 0)::HUGEINT sqr0
       FROM s WINDOW w AS (PARTITION BY chrom ORDER BY st), b AS (PARTITION BY chrom ORDER BY st ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-r AS (SELECT * FROM query_regions WHERE chrom IS NOT NULL AND st < ed),
+qr AS (SELECT region_id, chrom, st, ed, n FROM query_regions UNION ALL SELECT 1000000000 + row_number() OVER (ORDER BY chrom), chrom, 0, chrom_len, 500 FROM chrom_sizes),
+r AS (SELECT * FROM qr WHERE chrom IS NOT NULL AND st < ed),
 wd AS (SELECT * FROM r WHERE n >= 1 AND ed - st > n), nr AS (SELECT * FROM r WHERE n >= 1 AND ed - st <= n),
 eb AS (SELECT region_id, chrom, bin, st + (2 * (ed - st) * bin + n) // (2 * n) bin_st, st + (2 * (ed - st) * (bin + 1) + n) // (2 * n) bin_ed FROM (SELECT *, unnest(range(n)) bin FROM wd)),
 sl AS (SELECT region_id, chrom, bin, st + ((ed - st) * (2 * bin + 1) - 1) // (2 * n) base FROM (SELECT *, unnest(range(n)) bin FROM nr)),
-pt AS (SELECT region_id, unnest([0, 1, 2]) which, chrom, unnest([st, ed, (st + ed) // 2]) pos FROM query_regions WHERE chrom IS NOT NULL)
+pt AS (SELECT region_id, unnest([0, 1, 2]) which, chrom, unnest([st, ed, (st + ed) // 2]) pos FROM qr WHERE chrom IS NOT NULL)
 """
 
 AT = SIGNAL + """, h AS (SELECT pt.*, c.st cst, c.ed ced, c.val, c.u, c.idx, c.cov0, c.sum0, c.sqr0 FROM pt ASOF LEFT JOIN c ON pt.chrom = c.chrom AND pt.pos >= c.st),
@@ -71,12 +72,19 @@ SELECT {} FROM i GROUP BY chrom, g"""
 
 def signal(spark, d):
     """The signal that the queries of this module ask."""
-    return sg.composite(table(spark, d, "step_signal"))
+    return sg.composite(table(spark, d, "bed_signal"))
 
 
 def queries() -> dict:
+    def asked(spark, d):
+        return table(spark, d, "query_regions").select("region_id", "chrom", "st", "ed", "n")
+
     def regions(spark, d):
-        return table(spark, d, "query_regions")
+        """The regions asked for, and every whole chrom in 500 windows (the chroms are a fixed, short list)."""
+        whole = table(spark, d, "chrom_sizes").selectExpr(
+            "1000000000 + row_number() over (order by chrom) as region_id", "chrom", "cast(0 as bigint) as st", "chrom_len as ed", "cast(500 as bigint) as n"
+        )
+        return asked(spark, d).unionByName(whole)
 
     def points(spark, d):
         at = F.posexplode(F.array("st", "ed", F.expr("(st + ed) div 2"))).alias("which", "pos")
@@ -99,9 +107,9 @@ def queries() -> dict:
         "interval_count_batch": both(lambda s, r: sg.window_summary(s, r).select("region_id", "bin", "started")),
         "bin_edges": lambda spark, d: sg.bin_edges(regions(spark, d)),
         "upsample_slots": lambda spark, d: sg.upsample_slots(regions(spark, d)),
-        "region_errors": lambda spark, d: sg.region_errors(regions(spark, d)),
+        "region_errors": lambda spark, d: sg.region_errors(asked(spark, d)),
         "list_intervals": both(sg.listed),
-        "base_value_map": both(sg.base_values),
+        "base_value_map": lambda spark, d: sg.base_values(signal(spark, d), asked(spark, d)),
         "find_intervals": both(sg.found_ranges),
         "find_rlen": lambda spark, d: sg.covered_at_length(signal(spark, d), points(spark, d).withColumn("pos", F.expr("pos % 100000"))),
         "semi_overlap": both(lambda s, r: overlap_join(sg.valid_regions(r), s, how="left_semi").select("region_id")),
@@ -142,7 +150,7 @@ def oracle_sql() -> dict[str, str]:
         "region_errors": """SELECT region_id, CASE WHEN NOT coalesce(chrom IS NOT NULL AND st < ed, false) THEN 'interval' ELSE 'windows' END AS error
 FROM query_regions WHERE NOT coalesce(chrom IS NOT NULL AND st < ed, false) OR NOT coalesce(n >= 1, false)""",
         "list_intervals": SIGNAL + " SELECT region_id, s.st, s.ed, s.val FROM r JOIN s ON r.chrom = s.chrom AND s.st < r.ed AND s.ed > r.st",
-        "base_value_map": SIGNAL + ", b AS (SELECT region_id, chrom, unnest(range(st, ed)) pos FROM r) SELECT region_id, pos, CASE WHEN pos < s.ed THEN val END AS val FROM b ASOF LEFT JOIN s ON b.chrom = s.chrom AND b.pos >= s.st",
+        "base_value_map": SIGNAL + ", b AS (SELECT region_id, chrom, unnest(range(st, ed)) pos FROM r WHERE region_id < 1000000000) SELECT region_id, pos, CASE WHEN pos < s.ed THEN val END AS val FROM b ASOF LEFT JOIN s ON b.chrom = s.chrom AND b.pos >= s.st",
         "find_intervals": SIGNAL + ' SELECT region_id, min(idx) AS "first", max(idx) + 1 AS "last" FROM r LEFT JOIN c ON r.chrom = c.chrom AND c.st < r.ed AND c.ed > r.st GROUP BY 1',
         "find_rlen": SIGNAL + ", q AS (SELECT region_id, which, chrom, pos % 100000 pos FROM pt), x AS (SELECT q.*, count(idx) k FROM q LEFT JOIN c ON q.chrom = c.chrom AND cov0 < pos GROUP BY ALL) SELECT region_id, which, chrom, pos, k AS idx FROM x",
         "semi_overlap": SIGNAL + " SELECT region_id FROM r WHERE EXISTS (SELECT 1 FROM s WHERE r.chrom = s.chrom AND s.st < r.ed AND s.ed > r.st)",
