@@ -68,14 +68,12 @@ def asof_join(points: DataFrame, rows: DataFrame, keys: Sequence[str], pos: str,
     a = rows.where(F.col(at).isNotNull()).select(*keys, F.col(at).alias("_p"), F.lit(0).alias("_t"), held.alias("_h"), F.lit(None).cast(points.select(own.alias("x")).schema["x"].dataType).alias("_o"))
     b = points.where(F.col(pos).isNotNull()).select(*keys, F.col(pos).alias("_p"), F.lit(1).alias("_t"), F.lit(None).cast(rows.select(held.alias("x")).schema["x"].dataType).alias("_h"), own.alias("_o"))
     u = a.unionByName(b).withColumn("_s", shard_of(F.col("_p"), width))
-    inner, outer = Window.partitionBy(*keys, "_s").orderBy("_p", "_t"), Window.partitionBy(*keys).orderBy("_s")
+    # read backwards for what is ahead: a frame that ends at the current row is summed up as it grows
+    way = (lambda c: F.col(c).desc()) if ahead else F.col
+    inner, outer = Window.partitionBy(*keys, "_s").orderBy(way("_p"), way("_t")), Window.partitionBy(*keys).orderBy(way("_s"))
     edge = u.groupBy(*keys, "_s").agg((F.min_by if ahead else F.max_by)("_h", F.when(F.col("_t") == 0, F.col("_p"))).alias("_e"))
-    if ahead:
-        near = F.first("_h", ignorenulls=True).over(inner.rowsBetween(1, Window.unboundedFollowing))
-        carry = F.first("_e", ignorenulls=True).over(outer.rowsBetween(1, Window.unboundedFollowing))
-    else:
-        near = F.last("_h", ignorenulls=True).over(inner.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        carry = F.last("_e", ignorenulls=True).over(outer.rowsBetween(Window.unboundedPreceding, -1))
+    near = F.last("_h", ignorenulls=True).over(inner.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    carry = F.last("_e", ignorenulls=True).over(outer.rowsBetween(Window.unboundedPreceding, -1))
     edge = edge.select(*keys, "_s", carry.alias("_c"))
     got = join_on(u.withColumn("_n", near).where("_t = 1"), edge, [*keys, "_s"])
     return got.select("_o.*", F.coalesce("_n", "_c").alias(name))
