@@ -10,12 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Patterns of the line format.
-SKIPPED = r"^[ \t\r]*($|#|(track|browser)([ \t\r]|$))"
+# Patterns of the line format. \z is the end of the text; $ would also match before a last line end.
+SKIPPED = r"^[ \t\r]*(\z|#|(track|browser)([ \t\r]|\z))"
 FIELD = r'(?:[ \r]*+"[^"]*+(?:""[^"]*+)*+"[ \r]*+|[^"\t]*+)'
-WELL_QUOTED = rf"^{FIELD}(?:\t{FIELD})*+$"
-WHOLE = r"^[0-9]+$"
-DECIMAL = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+WELL_QUOTED = rf"^{FIELD}(?:\t{FIELD})*+\z"
+WHOLE = r"^[0-9]+\z"
+DECIMAL = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\z"
 
 _SCHEMA = "f0 string, f1 string, f2 string, f3 string, f4 string, raw string"
 _OPTIONS = {"sep": "\t", "quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "raw", "comment": "\x00"}
@@ -23,7 +23,7 @@ _OPTIONS = {"sep": "\t", "quote": '"', "escape": '"', "mode": "PERMISSIVE", "col
 
 def _bare(field: Column) -> Column:
     """A field without the blanks around it and, if quoted, without its quotes."""
-    f = F.regexp_replace(field, r"^[ \r]+|[ \r]+$", "")
+    f = F.regexp_replace(field, r"^[ \r]+|[ \r]+\z", "")
     return F.when(f.startswith('"'), F.replace(f.substr(F.lit(2), F.length(f) - 2), F.lit('""'), F.lit('"'))).otherwise(f)
 
 
@@ -43,7 +43,7 @@ def classify(lines: DataFrame, sizes: DataFrame, line: str = "line", keep: tuple
     """
     text = F.col(line)
     rows = lines.select(*keep, text.alias("raw")).where(text.isNotNull() & ~text.rlike(SKIPPED))
-    end = F.regexp_replace("raw", r"[ \r]+$", "")
+    end = F.regexp_replace("raw", r"[ \r]+\z", "")
     rows = rows.withColumn("_read", F.from_csv(end, _SCHEMA, _OPTIONS))
     clean = F.col("_read.raw").isNull() & ~F.col("raw").contains('"') & ~end.contains("\r") & ~end.contains("\n")
     by_reader = F.array(*[F.coalesce(F.col(f"_read.f{i}"), F.lit("")) for i in range(5)])
