@@ -39,7 +39,7 @@ def ceil_log2(x: Column) -> Column:
 def ceil_div(a: Column, b: Column | int) -> Column:
     """``a / b`` rounded up, for whole ``a >= 0`` and ``b > 0``."""
     b = F.lit(b) if isinstance(b, int) else b
-    return ((a + b - 1 - F.pmod(a + b - 1, b)) / b).cast("bigint")
+    return F.call_function("div", a + b - 1, b.cast("bigint"))
 
 
 def binary_text(x: Column, width: int = 64) -> Column:

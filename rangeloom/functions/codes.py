@@ -53,7 +53,7 @@ def golomb_bits(n: Column, m: int) -> Column:
     """Unary quotient by ``m`` with its end, and the rest in truncated binary."""
     b = (m - 1).bit_length()
     short = (1 << b) - m
-    q = ((n - F.pmod(n, F.lit(m))) / m).cast("bigint")
+    q = F.call_function("div", n, F.lit(m).cast("bigint"))
     return (q + 1 + F.when(F.pmod(n, F.lit(m)) < short, max(b - 1, 0)).otherwise(b)).cast("bigint")
 
 

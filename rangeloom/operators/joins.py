@@ -32,6 +32,9 @@ def overlap_join(
     """
     if width & (width - 1):
         raise ValueError("width must be a power of two")
+    clash = set(left.columns) & {f"{prefix}{c}" for c in right.columns if c not in keys}
+    if how == "inner" and clash:
+        raise ValueError(f"prefix {prefix!r} makes names that the left side has: {sorted(clash)}")
     a, b = _binned(left, keys, *left_iv, width, "l"), _binned(right, keys, *right_iv, width, "r")
     ls, le, rs, re = F.col(f"_l_{left_iv[0]}"), F.col(f"_l_{left_iv[1]}"), F.col(f"_r_{right_iv[0]}"), F.col(f"_r_{right_iv[1]}")
     cond = (F.col("_lbin") == F.col("_rbin")) & (ls < re) & (rs < le) & (F.col("_lbin") == shard_of(F.greatest(ls, rs), width))

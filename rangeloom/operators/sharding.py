@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 def floor_div(a: Column, b: Column | int) -> Column:
     """Division of whole numbers, rounded down for negative ``a`` too (``b`` > 0)."""
     b = F.lit(b).cast("bigint") if isinstance(b, int) else b
-    return ((a - F.pmod(a, b)) / b).cast("bigint")
+    return F.call_function("div", a - F.pmod(a, b), b)
 
 
 def shard_of(pos: Column, width: int) -> Column:

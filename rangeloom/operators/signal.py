@@ -128,7 +128,7 @@ def edge(i: Column) -> Column:
 
 def _div(a: Column, b: Column) -> Column:
     """Whole division of non-negative numbers."""
-    return ((a - F.pmod(a, b)) / b).cast("bigint")
+    return F.call_function("div", a, b)
 
 
 def window_of(x: Column) -> Column:

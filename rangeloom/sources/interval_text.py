@@ -41,6 +41,8 @@ def classify(lines: DataFrame, sizes: DataFrame, line: str = "line", keep: tuple
     if that is empty. Null and blank lines, comments and ``track`` or ``browser`` lines are no rows. ``sizes`` has one row
     per valid ``chrom`` with its ``chrom_len``.
     """
+    if clash := set(keep) & {"raw", "reason", "chrom", "st", "ed", "val", "annotation"}:
+        raise ValueError(f"columns to keep have the names of result columns: {sorted(clash)}")
     text = F.col(line)
     rows = lines.select(*keep, text.alias("raw")).where(text.isNotNull() & ~text.rlike(SKIPPED))
     end = F.regexp_replace("raw", r"[ \r]+\z", "")
