@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +27,8 @@ BANDS = 8
 POOL = 1 << 16
 #: A container below this share of the capacity is opened again with the next pool.
 FULL = 0.98
+#: Stands for a null key inside a task.
+NO_KEY = -(2**63)
 
 
 class _Band:
@@ -108,7 +111,8 @@ def _assign(capacity: int, segments: int, loss_limit: int, pool: int):
         held = np.zeros((0, 5), np.int64)  # doc, piece, from, tokens, loss
 
         def out(rows: np.ndarray, container, segment, place) -> pa.RecordBatch:
-            cols = [rows[:, 0], rows[:, 1], rows[:, 2], rows[:, 3], rows[:, 4], container, segment, place]
+            doc = pa.array(rows[:, 0], mask=rows[:, 0] == NO_KEY)
+            cols = [doc, rows[:, 1], rows[:, 2], rows[:, 3], rows[:, 4], container, segment, place]
             return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, pa.int64()) for c in cols], names)
 
         def flush(final: bool) -> Iterator[pa.RecordBatch]:
@@ -133,7 +137,8 @@ def _assign(capacity: int, segments: int, loss_limit: int, pool: int):
                 held = held[keep]
 
         for batch in batches:
-            doc, n, loss = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "n_tokens", "loss_tokens"))
+            doc = pc.fill_null(batch.column("doc_id"), NO_KEY).to_numpy(zero_copy_only=False)
+            n, loss = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("n_tokens", "loss_tokens"))
             empty = n == 0
             if empty.any():
                 z = np.zeros(int(empty.sum()), np.int64)
@@ -171,7 +176,7 @@ def fill(
     """
     t = F.greatest(F.coalesce(F.col(n).cast("bigint"), F.lit(0)), F.lit(0))
     use = F.least(F.greatest(F.coalesce(F.col(loss).cast("bigint"), F.lit(0)), F.lit(0)), t)
-    rows = sizes.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("doc_id"), t.alias("n_tokens"), use.alias("loss_tokens"))
+    rows = sizes.select(F.col(key).cast("bigint").alias("doc_id"), t.alias("n_tokens"), use.alias("loss_tokens"))
     schema = "doc_id bigint, piece bigint, from_token bigint, n_tokens bigint, loss_tokens bigint, container bigint, segment bigint, place bigint"
     return rows.mapInArrow(_assign(capacity, segments, loss_limit, pool), schema)
 

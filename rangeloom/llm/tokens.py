@@ -176,7 +176,7 @@ def _through_words(docs: DataFrame, key: str, text: str, folder: str, vocabulary
     spark = docs.sparkSession
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     classes = pretokens.char_classes(f"{folder}/{vocabulary}.json")
-    rows = docs.select(F.col(key).alias("doc"), F.col(text).alias("text")).mapInArrow(_split(classes, buckets, counts_only), _ROW)
+    rows = docs.select(F.col(key).cast("bigint").alias("doc"), F.col(text).cast("string").alias("text")).mapInArrow(_split(classes, buckets, counts_only), _ROW)
     by_word = rows.repartition(F.when(F.col("tag") == 0, F.col("bucket")).otherwise(F.col("block"))).sortWithinPartitions("tag", "bucket", "block")
     coded = by_word.mapInArrow(_encode(f"{folder}/{vocabulary}.tiktoken"), _ROW)
     by_block = coded.repartition("block").sortWithinPartitions("block", "tag", "bucket", "doc")
