@@ -13,8 +13,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..tables import written
 from .joins import asof_join, overlap_join
-from .sharding import join_on, running, shard_of
+from .sharding import join_on, neighbour, running, shard_of
 
 SHARD = 1 << 14
 
@@ -82,11 +83,13 @@ def symbol_ranks(seq: DataFrame) -> DataFrame:
     return running(s, ["c"], "_s", ["pos"], {"rank": F.lit(1).cast("bigint")}, inclusive=False).select("pos", "c", F.col("rank").cast("bigint").alias("rank"))
 
 
-def dominance(points: DataFrame, queries: DataFrame, x: str, y: str, bits: int = 32) -> DataFrame:
+def dominance(points: DataFrame, queries: DataFrame, x: str, y: str) -> DataFrame:
     """``(qid, n)``: points with ``x < qx`` and ``y < qy``, each point counted as often as it occurs.
 
-    ``points`` has ``x``, ``y`` (0 or more, below ``2^bits``; others and nulls count nowhere), ``queries`` ``qid, qx, qy``.
+    ``points`` has ``x``, ``y`` (0 or more; negative ones and nulls count nowhere), ``queries`` ``qid, qx, qy``. Layers are
+    made up to the highest bit of any ``qy``; a point above that is below no query.
     """
+    bits = max(1, int(queries.agg(F.max("qy").alias("m")).head()["m"] or 0)).bit_length()
     top = 1 << bits
     good = points.select(F.col(x).cast("bigint").alias("x"), F.col(y).cast("bigint").alias("y")).where((F.col("y") >= 0) & (F.col("y") < top) & F.col("x").isNotNull())
     good = good.groupBy("x", "y").agg(F.count(F.lit(1)).alias("w"))
@@ -100,18 +103,18 @@ def dominance(points: DataFrame, queries: DataFrame, x: str, y: str, bits: int =
     return join_on(queries.select("qid"), got, ["qid"]).select("qid", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
 
 
-def rank_all(seq: DataFrame, queries: DataFrame, bits: int = 16) -> DataFrame:
+def rank_all(seq: DataFrame, queries: DataFrame) -> DataFrame:
     """``(qid, less, equal, more)``: symbols below, equal to and above ``c`` at positions before ``p``. ``queries`` has ``qid, c, p``."""
     two = queries.select("qid", "c", "p", F.explode(F.array(F.lit(0), F.lit(1))).alias("k"))
     two = two.select(F.struct("qid", "k").alias("qid"), F.col("p").alias("qx"), (F.col("c") + F.col("k")).alias("qy"))
-    got = dominance(seq, two, "pos", "c", bits).select("qid.qid", "qid.k", "n")
+    got = dominance(seq, two, "pos", "c").select("qid.qid", "qid.k", "n")
     got = got.groupBy("qid").agg(F.sum(F.when(F.col("k") == 0, F.col("n"))).alias("less"), F.sum(F.when(F.col("k") == 1, F.col("n"))).alias("le"))
     length = seq.count()
     out = join_on(queries, got, ["qid"])
     return out.select("qid", "less", (F.col("le") - F.col("less")).alias("equal"), (F.least(F.col("p"), F.lit(length)) - F.col("le")).cast("bigint").alias("more"))
 
 
-def box_count(points: DataFrame, boxes: DataFrame, x: str, y: str, bits: int = 32) -> DataFrame:
+def box_count(points: DataFrame, boxes: DataFrame, x: str, y: str) -> DataFrame:
     """``(qid, n)``: points in ``[x1, x2) x [y1, y2)``, reversed bounds swapped; by four dominance counts."""
     lo = lambda a, b: F.least(a, b)
     hi = lambda a, b: F.greatest(a, b)
@@ -119,7 +122,7 @@ def box_count(points: DataFrame, boxes: DataFrame, x: str, y: str, bits: int = 3
         *[F.struct(F.lit(s).alias("s"), fx("x1", "x2").alias("qx"), fy("y1", "y2").alias("qy")) for s, fx, fy in ((1, hi, hi), (-1, lo, hi), (-2, hi, lo), (2, lo, lo))]
     )
     four = boxes.select("qid", F.explode(c).alias("_c")).select(F.struct("qid", F.col("_c.s").alias("s")).alias("qid"), "_c.qx", "_c.qy")
-    n = dominance(points, four, x, y, bits).groupBy("qid.qid").agg(F.sum(F.signum("qid.s") * F.col("n")).cast("bigint").alias("n"))
+    n = dominance(points, four, x, y).groupBy("qid.qid").agg(F.sum(F.signum("qid.s") * F.col("n")).cast("bigint").alias("n"))
     return n
 
 
@@ -169,6 +172,7 @@ def extremes(seq: DataFrame, ranges: DataFrame, value: str = "v", levels: int =
     """
     low = F.struct(F.col(value).alias("v"), F.col("pos").alias("at"))
     high = F.struct((-F.col(value)).alias("v"), F.col("pos").alias("at"))
+    seq = written(seq.select("pos", value), "sequence")  # read twice
     top = int(seq.agg(F.max("pos").alias("m")).head()["m"] or 0).bit_length()
     levels = min(levels, top)
     blocks = 6
@@ -192,8 +196,6 @@ def excess(bits: DataFrame) -> DataFrame:
 
 def run_lengths(array: DataFrame, value: str = "v") -> DataFrame:
     """Runs of equal values: ``(pos, v, n)``."""
-    from .sharding import neighbour
-
     s = array.select("pos", F.col(value).alias("v")).withColumn("_s", shard_of(F.col("pos"), SHARD))
     s = neighbour(s, [], "_s", ["pos"], ["v"], "_b")
     s = s.withColumn("_new", F.when(F.col("_b.v") == F.col("v"), 0).otherwise(1).cast("bigint"))

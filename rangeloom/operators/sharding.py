@@ -40,37 +40,52 @@ def join_on(a: DataFrame, b: DataFrame, keys: Sequence[str], how: str = "left")
     return a.join(renamed, cond, how).drop(*[f"_r_{k}" for k in keys])
 
 
-def neighbour(
-    df: DataFrame, keys: Sequence[str], shard: str, order: Sequence[str], cols: Sequence[str], name: str, ahead: bool = False
+def scan(
+    df: DataFrame, keys: Sequence[str], shard: str, order: Sequence[str], sums: dict[str, Column] | None = None, inclusive: bool = True,
+    before: tuple[str, Sequence[str]] | None = None, after: tuple[str, Sequence[str]] | None = None,
 ) -> DataFrame:
-    """Adds struct ``name`` with ``cols`` of the row before (``ahead``: after) in ``order`` within ``keys``; null at the ends.
+    """``df`` with running sums and neighbours along ``order`` within ``keys``, in one pass and one scan of summaries.
 
-    ``shard`` must not decrease along ``order``, and ``order`` must be total. Like ``lag`` (``lead``) over ``keys``, but
-    no task gets more than one shard of a key.
+    ``sums`` are names and values; nulls count as 0, ``inclusive=False`` leaves out the row itself. ``before`` (``after``) is
+    a name for a struct of columns of the row before (after), null at the ends. ``shard`` must not decrease along
+    ``order``; for neighbours ``order`` must be total. No task gets more than one shard of a key.
     """
-    keys = list(keys)
+    keys, sums = list(keys), sums or {}
     inner = Window.partitionBy(*keys, shard).orderBy(*order)
-    what, by = F.struct(*cols), F.struct(*order)
-    near = F.lead(what).over(inner) if ahead else F.lag(what).over(inner)
-    edge = df.groupBy(*keys, shard).agg((F.min_by(what, by) if ahead else F.max_by(what, by)).alias("_edge"))
+    upto = inner.rowsBetween(Window.unboundedPreceding, Window.currentRow if inclusive else -1)
+    by = F.struct(*order)
+    own = [F.coalesce(F.sum(v).over(upto), F.lit(0)).alias(n) for n, v in sums.items()]
+    edge = [F.sum(v).alias(f"_t_{n}") for n, v in sums.items()]
     outer = Window.partitionBy(*keys).orderBy(shard)
-    edge = edge.select(*keys, shard, (F.lead("_edge") if ahead else F.lag("_edge")).over(outer).alias("_across"))
-    out = join_on(df.withColumn("_near", near), edge, [*keys, shard])
-    return out.withColumn(name, F.coalesce("_near", "_across")).drop("_near", "_across")
+    earlier = outer.rowsBetween(Window.unboundedPreceding, -1)
+    across = [F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_c_{n}") for n in sums]
+    out = {n: F.col(n) + F.col(f"_c_{n}") for n in sums}
+    if before:
+        what = F.struct(*before[1])
+        own.append(F.lag(what).over(inner).alias("_near_b"))
+        edge.append(F.max_by(what, by).alias("_edge_b"))
+        across.append(F.lag("_edge_b").over(outer).alias("_c_b"))
+        out[before[0]] = F.coalesce("_near_b", "_c_b")
+    if after:
+        what = F.struct(*after[1])
+        own.append(F.lead(what).over(inner).alias("_near_a"))
+        edge.append(F.min_by(what, by).alias("_edge_a"))
+        across.append(F.lead("_edge_a").over(outer).alias("_c_a"))
+        out[after[0]] = F.coalesce("_near_a", "_c_a")
+    marks = df.groupBy(*keys, shard).agg(*edge).select(*keys, shard, *across)
+    got = join_on(df.select("*", *own), marks, [*keys, shard]).withColumns(out)
+    return got.drop(*[f"_c_{n}" for n in sums], "_near_b", "_c_b", "_near_a", "_c_a")
+
+
+def neighbour(
+    df: DataFrame, keys: Sequence[str], shard: str, order: Sequence[str], cols: Sequence[str], name: str, ahead: bool = False
+) -> DataFrame:
+    """Adds struct ``name`` with ``cols`` of the row before (``ahead``: after) in ``order`` within ``keys``; null at the ends. See :func:`scan`."""
+    return scan(df, keys, shard, order, **{"after" if ahead else "before": (name, cols)})
 
 
 def running(
     df: DataFrame, keys: Sequence[str], shard: str, order: Sequence[str], sums: dict[str, Column], inclusive: bool = True
 ) -> DataFrame:
-    """Adds for each ``name: value`` of ``sums`` the running sum of the values along ``order`` within ``keys``.
-
-    ``inclusive=False`` leaves out the row itself. Nulls count as 0. Sharded as in :func:`neighbour`.
-    """
-    keys = list(keys)
-    inner = Window.partitionBy(*keys, shard).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow if inclusive else -1)
-    outer = Window.partitionBy(*keys).orderBy(shard).rowsBetween(Window.unboundedPreceding, -1)
-    total = df.groupBy(*keys, shard).agg(*[F.sum(v).alias(f"_t_{n}") for n, v in sums.items()])
-    total = total.select(*keys, shard, *[F.coalesce(F.sum(f"_t_{n}").over(outer), F.lit(0)).alias(f"_c_{n}") for n in sums])
-    own = df.select("*", *[F.coalesce(F.sum(v).over(inner), F.lit(0)).alias(n) for n, v in sums.items()])
-    out = join_on(own, total, [*keys, shard])
-    return out.withColumns({n: F.col(n) + F.col(f"_c_{n}") for n in sums}).drop(*[f"_c_{n}" for n in sums])
+    """Adds for each ``name: value`` of ``sums`` the running sum of the values along ``order`` within ``keys``. See :func:`scan`."""
+    return scan(df, keys, shard, order, sums, inclusive)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .joins import asof_join, overlap_join
-from .sharding import join_on, neighbour, running, shard_of
+from .sharding import join_on, neighbour, running, scan, shard_of
 
 SCALE = 1000
 SHARD = 1 << 16
@@ -32,17 +32,17 @@ def composite(rows: DataFrame, key: str = "chrom", source: str = "track_id", st:
     ends = F.array(F.struct(F.col("_a").alias("p"), F.col("_u").alias("u"), F.lit(1).alias("d")), F.struct(F.col("_b").alias("p"), (-F.col("_u")).alias("u"), F.lit(-1).alias("d")))
     ev = once.select("chrom", F.explode(ends).alias("_e")).select("chrom", "_e.*").groupBy("chrom", "p").agg(F.sum("u").alias("u"), F.sum("d").alias("d"))
     ev = ev.withColumn("_s", shard_of(F.col("p"), SHARD))
-    ev = running(ev, KEYS, "_s", ["p"], {"level": F.col("u"), "depth": F.col("d")})
-    ev = neighbour(ev, KEYS, "_s", ["p"], ["p"], "_next", ahead=True)
+    ev = scan(ev, KEYS, "_s", ["p"], {"level": F.col("u"), "depth": F.col("d")}, after=("_next", ["p"]))
     return ev.where("depth > 0").select("chrom", F.col("p").alias("st"), F.col("_next.p").alias("ed"), (F.col("level") / F.lit(float(SCALE))).alias("val"))
 
 
 def cumulated(signal: DataFrame) -> DataFrame:
-    """The signal with ``idx`` (position in its chrom), and before each interval ``cov0``, ``sum0``, ``sqr0``: covered bases, sum of values and of squares over bases, in units."""
+    """The signal with ``idx`` (position in its chrom), ``next_st`` (start of the next interval), and before each interval
+    ``cov0``, ``sum0``, ``sqr0``: covered bases, sum of values and of squares over bases, in units."""
     u, n = units(F.col("val")), F.col("ed") - F.col("st")
     s = signal.withColumns({"_s": shard_of(F.col("st"), SHARD), "u": u})
     sums = {"idx": F.lit(1).cast("bigint"), "cov0": n, "sum0": F.col("u") * n, "sqr0": F.col("u").cast("decimal(19,0)") * F.col("u").cast("decimal(19,0)") * n.cast("decimal(19,0)")}
-    return running(s, KEYS, "_s", ["st"], sums, inclusive=False).drop("_s")
+    return scan(s, KEYS, "_s", ["st"], sums, inclusive=False, after=("_next", ["st"])).withColumn("next_st", F.col("_next.st")).drop("_s", "_next")
 
 
 def at_positions(signal: DataFrame, points: DataFrame, pos: str = "pos") -> DataFrame:
@@ -55,7 +55,8 @@ def at_positions(signal: DataFrame, points: DataFrame, pos: str = "pos") -> Data
     """
     c = cumulated(signal)
     p = asof_join(points, c, KEYS, pos, "st", "_hit")
-    p = asof_join(p, signal.select("chrom", "st"), KEYS, pos, "st", "_after", ahead=True)
+    first = signal.groupBy("chrom").agg(F.min("st").alias("_first"))
+    p = join_on(p, first, KEYS)
     h, x = (lambda f: F.col(f"_hit.{f}")), F.col(pos)
     inside = F.coalesce(x < h("ed"), F.lit(False))
     part = F.least(h("ed"), x) - h("st")
@@ -71,7 +72,7 @@ def at_positions(signal: DataFrame, points: DataFrame, pos: str = "pos") -> Data
         (F.coalesce(h("sum0") + h("u") * part, zero) / F.lit(float(SCALE))).alias("prefix_sum"),
         (F.coalesce(h("sqr0") + d(h("u")) * d(h("u")) * d(part), F.lit(0)).cast("double") / F.lit(float(SCALE * SCALE))).alias("prefix_sqr"),
         F.coalesce(h("idx") + 1, zero).alias("started"),
-        F.when(inside, x).otherwise(F.coalesce("_after.st", F.lit(-1))).cast("bigint").alias("next"),
+        F.when(inside, x).otherwise(F.coalesce(F.when(h("st").isNull(), F.col("_first")).otherwise(h("next_st")), F.lit(-1))).cast("bigint").alias("next"),
         F.when(inside, x).otherwise(F.coalesce(h("ed") - 1, F.lit(-1))).cast("bigint").alias("prev"),
     )
 

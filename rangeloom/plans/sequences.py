@@ -73,7 +73,7 @@ def queries() -> dict:
         "seq_minmax": two(seq_v, ranges, lambda a, r: sq.extremes(a, r)),
         "rmq_min": two(array, lambda s, d: table(s, d, "orders").selectExpr("o_orderkey as qid", "o_orderkey as b", "o_orderkey + 1 + o_custkey % 300 as e"), lambda a, r: sq.extremes(a, r).select("qid", "min", "min_at")),
         "rmq_max": two(array, lambda s, d: table(s, d, "orders").selectExpr("o_orderkey as qid", "o_orderkey as b", "o_orderkey + 1 + o_custkey % 300 as e"), lambda a, r: sq.extremes(a, r).select("qid", "max", "max_at")),
-        "seq_box_count": two(seq, lambda s, d: ranges(s, d).selectExpr("qid", "b as x1", "e as x2", "k as y1", "k + 17 as y2"), lambda a, b: sq.box_count(a, b, "pos", "c", 16)),
+        "seq_box_count": two(seq, lambda s, d: ranges(s, d).selectExpr("qid", "b as x1", "e as x2", "k as y1", "k + 17 as y2"), lambda a, b: sq.box_count(a, b, "pos", "c")),
         "seq_box_list": two(seq, lambda s, d: ranges(s, d).selectExpr("qid", "b as x1", "e as x2", "k as y1", "k + 17 as y2"), lambda a, b: sq.in_boxes(a, b, "pos", "c").selectExpr("qid", "x as pos", "y as c")),
         "wavelet_layers": on(seq, lambda s: sq.bit_layers(s, 6)),
         "bit_rank": on(bits, sq.bit_ranks),
@@ -88,8 +88,8 @@ def queries() -> dict:
         "psum_rank": two(array, targets, sq.prefix_sum_rank),
         "run_length": on(array, sq.run_lengths),
         "run_lookup": lambda spark, d: sq.run_lookup(sq.run_lengths(array(spark, d)), table(spark, d, "orders").selectExpr("o_orderkey as pos")),
-        "dominance_count": two(points, corner, lambda p, q: sq.dominance(p, q, "x", "y", 24)),
-        "rect_count": two(points, boxes, lambda p, b: sq.box_count(p, b, "x", "y", 24)),
+        "dominance_count": two(points, corner, lambda p, q: sq.dominance(p, q, "x", "y")),
+        "rect_count": two(points, boxes, lambda p, b: sq.box_count(p, b, "x", "y")),
         "rect_list": two(points, boxes, lambda p, b: sq.in_boxes(p, b, "x", "y")),
         "grid_count": on(points, lambda p: pts.grid_count(p, EDGES_X, EDGES_Y)),
         "heatmap": on(points, lambda p: pts.heatmap(p, 10, 1999, 3, 97, 17, 9)),

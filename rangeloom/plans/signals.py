@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import signal as sg
 from ..operators.joins import overlap_join
-from ..tables import table
+from ..tables import table, written
 
 SIGNAL = """
 WITH once AS (SELECT track_id, chrom, st, ed, min(CAST(round(val * 1000) AS BIGINT)) u FROM bed_signal
@@ -71,8 +71,8 @@ SELECT {} FROM i GROUP BY chrom, g"""
 
 
 def signal(spark, d):
-    """The signal that the queries of this module ask."""
-    return sg.composite(table(spark, d, "bed_signal"))
+    """The signal that the queries of this module ask, built once per query as a stored track."""
+    return written(sg.composite(table(spark, d, "bed_signal")), "track")
 
 
 def queries() -> dict:
@@ -114,7 +114,7 @@ def queries() -> dict:
         "find_rlen": lambda spark, d: sg.covered_at_length(signal(spark, d), points(spark, d).withColumn("pos", F.expr("pos % 100000"))),
         "semi_overlap": both(lambda s, r: overlap_join(sg.valid_regions(r), s, how="left_semi").select("region_id")),
         "anti_overlap": both(lambda s, r: overlap_join(sg.valid_regions(r), s, how="left_anti").select("region_id")),
-        "signal": signal,
+        "signal": lambda spark, d: sg.composite(table(spark, d, "bed_signal")),
         "track_summary": alone(sg.track_summary),
         "prefix_len": alone(lambda s: sg.cumulated(s).select("chrom", "idx", "st", "ed", F.col("val").alias("value"), "cov0")),
         "merge_equal": alone(sg.merged_equal),
