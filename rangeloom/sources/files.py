@@ -28,9 +28,12 @@ def parse_signal(lines: DataFrame, line: str = "value", strict: bool = False) ->
     st, ed, val = strict_long(F.get(f, F.lit(1))), strict_long(F.get(f, F.lit(2))), strict_double(F.get(f, F.lit(3)))
     rows = _rows(lines, line).select(*[c for c in lines.columns if c != line], t.alias("_t"), F.get(f, F.lit(0)).alias("chrom"), st.alias("st"), ed.alias("ed"), val.alias("val"), F.get(f, F.lit(4)).alias("annotation"))
     ok = F.coalesce((F.col("st") < F.col("ed")) & F.col("val").isNotNull(), F.lit(False))
-    error = F.raise_error(F.concat(F.lit("not a signal line: "), "_t")) if strict else F.col("_t")
-    rows = rows.withColumn("error", F.when(~ok, error.cast("string")))
-    return rows.withColumns({c: F.when(ok, F.col(c)) for c in ("chrom", "st", "ed", "val", "annotation")}).drop("_t")
+    names = ("chrom", "st", "ed", "val", "annotation")
+    if strict:  # in every column, so that none can be read without the check
+        fail = F.raise_error(F.concat(F.lit("not a signal line: "), "_t"))
+        return rows.select(*[c for c in rows.columns if c not in (*names, "_t")], *[F.when(ok, F.col(c)).otherwise(fail).alias(c) for c in names], F.lit(None).cast("string").alias("error"))
+    rows = rows.withColumn("error", F.when(~ok, F.col("_t")))
+    return rows.withColumns({c: F.when(ok, F.col(c)) for c in names}).drop("_t")
 
 
 def parse_features(lines: DataFrame, line: str = "value") -> DataFrame:
