@@ -48,13 +48,13 @@ def candidates(df: DataFrame, key: str, share: float) -> tuple[list[str], int]:
     """
     k = int(2 / share) + 1
     sums = df.select(F.col(key).cast("string").alias("key")).mapInArrow(_sketch(k), "key string, n bigint, lost bigint")
-    sums = sums.groupBy("key").agg(F.sum("n").alias("n"), F.sum("lost").alias("lost"))
-    total = sums.where("key is null").head()
-    if total is None:
+    # the row of the total comes first, then the largest keys; at most k keys can have share/2 of all rows
+    top = sums.groupBy("key").agg(F.sum("n").alias("n"), F.sum("lost").alias("lost")).orderBy(F.col("key").isNotNull(), F.col("n").desc()).limit(k + 2).collect()
+    if not top:
         return [], 0
-    rows, lost = total["n"], total["lost"]
+    rows, lost = top[0]["n"], top[0]["lost"]
     least = share * rows - lost
-    return [r["key"] for r in sums.where("key is not null").where(F.col("n") >= F.lit(float(least) - 1)).limit(2 * k).collect()], rows
+    return [r["key"] for r in top[1:] if r["n"] >= least - 1], rows
 
 
 def heavy_keys(df: DataFrame, key: str = "chrom", share: float = 0.05) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import comb
+
 from pyspark.sql import functions as F
 
 from ..functions import bits as b
@@ -98,6 +100,7 @@ def oracle_sql() -> dict[str, str]:
 m AS (SELECT v, code FROM s UNION ALL SELECT l.x, f.x FROM l JOIN f USING (i)) SELECT pos, a.v, coalesce(code, a.v) AS code FROM a LEFT JOIN m ON a.v = m.v""",
         "remap_back": ARRAY + " SELECT pos, v FROM a",
         "front_to_values": ARRAY + " SELECT pos, v FROM a",
+        "rrr_bits": W + f" SELECT id, ({[(comb(63, k) - 1).bit_length() for k in range(64)]}[bit_count(x) + 1] + 6)::INTEGER AS bits FROM w",
         "bit_functions": W + " SELECT id, bit_count(x)::INTEGER AS ones, length(t)::INTEGER AS length, (length(t) - 1)::INTEGER AS msb, (length(t) - length(rtrim(t, '0')))::INTEGER AS lsb, CASE WHEN x = 1 THEN 0 ELSE length(ltrim(bin(x - 1), '0')) END::INTEGER AS ceil_log2, (length(t) - 1)::INTEGER AS floor_log2 FROM y",
         "bit_fields": W + """, z AS (SELECT *, reverse(right(lpad(t, 64, '0'), 24)) t24, reverse(right(lpad(t, 64, '0'), 32)) t32, list_filter(range(63), lambda i: (x >> i::INTEGER) & 1 = 1) o FROM y)
 SELECT id, (x >> 7) & 8191 AS field, (x & ~2040::BIGINT) | ((id & 255) << 3) AS changed, o[4]::INTEGER AS fourth, t24 AS text, list_reduce(list_transform(range(32), lambda i: ((t32[(i + 1)::INTEGER])::BIGINT) << (31 - i)::INTEGER), lambda p, q: p + q) AS reversed, (x + 96) // 97 AS parts FROM z""",

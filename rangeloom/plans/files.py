@@ -19,7 +19,7 @@ def workload(spark, n: int, seed: int, chroms, longest: int = 5_000_000, width:
     k = chroms.selectExpr("chrom", "chrom_len", "row_number() over (order by chrom) - 1 as _i")  # the list of chroms is short
     size = chroms.count()
     r = spark.range(n).select(F.col("id").alias("region_id"), F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(size)).cast("int").alias("_i"), F.pmod(F.xxhash64("id", F.lit(seed + 1)), F.lit(1 << 30)).alias("_u"), F.pmod(F.xxhash64("id", F.lit(seed + 2)), F.lit(1 << 30)).alias("_v"))
-    r = r.join(F.broadcast(k), "_i")
+    r = r.join(k, "_i")
     length = F.lit(width) if width else 1 + F.expr(f"_v % {longest}")
     st = F.expr("_u % chrom_len")
     return r.select("region_id", "chrom", st.alias("st"), F.greatest(st + 1, F.least(st + length, F.col("chrom_len"))).alias("ed"), F.lit(1).cast("bigint").alias("n"))
@@ -81,6 +81,9 @@ SELECT region_id, 200 AS status, '[' || string_agg(c::VARCHAR, ',' ORDER BY b) |
         "stream_sessions": """WITH l AS (SELECT event_type, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 5 MINUTE THEN 0 ELSE 1 END x FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts)),
 g AS (SELECT *, sum(x) OVER (PARTITION BY event_type ORDER BY ts ROWS UNBOUNDED PRECEDING) g FROM l) SELECT event_type, min(ts) AS st, max(ts) + INTERVAL 5 MINUTE AS ed, count(*) AS n FROM g GROUP BY event_type, g""",
         "stream_changes": "WITH l AS (SELECT user_id, event_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) p FROM events) SELECT user_id, event_id AS pos, event_type AS \"value\" FROM l WHERE p IS NULL OR p <> event_type",
+        "bed_rows": r"""WITH r AS (SELECT line_id, regexp_replace(line, '\r+$', '') t FROM bed_lines WHERE line IS NOT NULL AND NOT regexp_matches(line, '^[ \t\r]*($|#|(track|browser)([ \t\r]|$))')),
+f AS (SELECT line_id, regexp_extract(t, '^([^ \t]*)[ \t]([+-]?[0-9]{1,18})[ \t]([+-]?[0-9]{1,18})(?:[ \t]((?s:.*)))?$', ['a', 'b', 'c', 'd']) m, regexp_matches(t, '^[^ \t]*[ \t][+-]?[0-9]{1,18}[ \t][+-]?[0-9]{1,18}([ \t]|$)') ok FROM r)
+SELECT line_id, m.a AS chrom, m.b::BIGINT AS st, m.c::BIGINT AS ed, coalesce(m.d, '') AS other FROM f WHERE ok AND m.b::BIGINT <= m.c::BIGINT""",
         "bedgraph_errors": parsed + " SELECT line_id, t AS error FROM g WHERE NOT ok",
         "bedgraph_rows": parsed + " SELECT line_id, chrom, st, ed, val, annotation FROM g WHERE ok",
     }

@@ -11,21 +11,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A folder that all executors share, for tables that cut lineage.
+    """A folder of this application that all executors share, for tables that cut lineage; it goes when the application ends.
 
-    It is the one the cluster names in ``spark.checkpoint.dir``. Where that is unset (tests, one machine) a folder
-    below the warehouse folder is set as checkpoint folder and used.
+    It lies in the folder that the cluster names in ``spark.checkpoint.dir``. Where that is unset (tests, one machine) a
+    folder below the warehouse folder is set as checkpoint folder and used.
     """
-    conf = spark.sparkContext.getConf()
-    named = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    own = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if own.isDefined():
-        return own.get().rstrip("/")
-    base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
-    spark.sparkContext.setCheckpointDir(base)
-    return base
+    context = spark.sparkContext
+    known = getattr(context, "_rangeloom_shared", None)
+    if known:
+        return known
+    base = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        own = context._jsc.sc().getCheckpointDir()
+        if own.isDefined():
+            base = own.get()
+        else:
+            base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
+            context.setCheckpointDir(base)
+    path = f"{base.rstrip('/')}/rangeloom-{context.applicationId}"
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(p)
+    fs.deleteOnExit(p)
+    context._rangeloom_shared = path
+    return path
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
