@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# Start and prime of the 32-bit FNV hash.
+FNV_START = 2166136261
+FNV_PRIME = 16777619
+
+
 def tokens(s: Column, delimiters: str = " \t") -> Column:
     """The non-empty parts between delimiters."""
     import re
@@ -42,8 +47,8 @@ def number_text(v: Column, most: int = 6) -> Column:
 def fnv1_32(data: Column) -> Column:
     """FNV-1 of the bytes of a text or binary, 32 bits, as a non-negative number."""
     bytes_ = F.transform(F.sequence(F.lit(1), F.octet_length(data)), lambda i: F.conv(F.hex(F.substring(data.cast("binary"), i, F.lit(1))), 16, 10).cast("bigint"))
-    word = F.aggregate(bytes_, F.lit(2166136261).cast("bigint"), lambda h, b: (h * 16777619).bitwiseAND(F.lit(0xFFFFFFFF)).bitwiseXOR(b))
-    return F.when(F.octet_length(data) == 0, F.lit(2166136261).cast("bigint")).otherwise(word)
+    word = F.aggregate(bytes_, F.lit(FNV_START).cast("bigint"), lambda h, b: (h * FNV_PRIME).bitwiseAND(F.lit(0xFFFFFFFF)).bitwiseXOR(b))
+    return F.when(F.octet_length(data) == 0, F.lit(FNV_START).cast("bigint")).otherwise(word)
 
 
 def directory(path: Column) -> Column:

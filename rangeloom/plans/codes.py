@@ -9,11 +9,16 @@ from pyspark.sql import functions as F
 from ..functions import bits as b
 from ..functions import codes as c
 from ..functions import text as t
+from ..operators import bitstreams as bs
 from ..operators import codecs as cd
 from ..tables import table
 from .sequences import ARRAY, array
 
 
+#: Codes whose packed blocks are decoded again by a query of their own.
+PACKED = ("gamma", "delta", "fibonacci", "rice:4", "golomb:11", "vbyte", "huffman", "arithmetic", "adaptive", "rans")
+
+
 def words(spark, d):
     """64-bit words from order keys and prices."""
     return table(spark, d, "orders").selectExpr("o_orderkey as id", "o_orderkey * 2654435761 + cast(round(o_totalprice * 100) as bigint) as x")
@@ -34,7 +39,8 @@ def queries() -> dict:
     def docs(f):
         return lambda spark, d: f(table(spark, d, "documents"))
 
-    return {
+    packed = {f"packed_{m.replace(':', '_')}": on(array, lambda a, m=m: bs.decode(bs.encode(a, m), m)) for m in PACKED}
+    return packed | {
         "gamma_bits": number(bits=c.gamma_bits, code=c.gamma_code),
         "delta_bits": number(bits=c.delta_bits, code=c.delta_code),
         "rice_bits": number(bits=lambda n: c.rice_bits(n, 5)),
@@ -83,7 +89,7 @@ def oracle_sql() -> dict[str, str]:
         fib.append(fib[-1] + fib[-2])
     u = "CASE WHEN {0} > 0 THEN 2 * ({0}) - 1 ELSE -2 * ({0}) END"
     top = ARRAY + ", h AS (SELECT v, count(*) n FROM a GROUP BY 1), p AS (SELECT v, n, row_number() OVER (ORDER BY n DESC, v DESC) i FROM h), t AS (SELECT * FROM p WHERE i <= 20 AND (n > 1 OR i <= 8))"
-    return {
+    return {f"packed_{m.replace(':', '_')}": ARRAY + " SELECT pos, v FROM a" for m in PACKED} | {
         "gamma_bits": N + " SELECT id, n, (2 * k + 1)::INTEGER AS bits, repeat('0', k) || t AS code FROM y",
         "delta_bits": N + ", z AS (SELECT *, length(ltrim(bin(k + 1), '0')) - 1 m FROM y) SELECT id, n, (2 * m + 1 + k)::INTEGER AS bits, repeat('0', m) || ltrim(bin(k + 1), '0') || t[2:] AS code FROM z",
         "rice_bits": N + " SELECT id, n, (n >> 5) + 6 AS bits FROM y",

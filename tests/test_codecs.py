@@ -107,3 +107,23 @@ def test_text(spark):
     assert [r["h"] for r in rows] == [fnv(x) for x in s] and rows[4]["t"] == ["a", "b"] and rows[3]["m"] == "é"
     p = spark.createDataFrame([("a/b/c.txt",), ("c",), ("x/.hid",)], "p string").select(t.directory(F.col("p")), t.base_name(F.col("p")), t.extension(F.col("p"))).collect()
     assert [tuple(r) for r in p] == [("a/b", "c.txt", ".txt"), ("", "c", ""), ("x", ".hid", "")]
+
+
+@pytest.mark.parametrize("method", ["gamma", "delta", "fibonacci", "rice:0", "rice:4", "golomb:1", "golomb:5", "golomb:8", "vbyte", "huffman", "arithmetic", "adaptive", "rans"])
+def test_bitstreams(spark, method):
+    from rangeloom.operators import bitstreams as bs
+
+    for v in ARRAYS[:5] + [[2**40, 0, 1, 127, 128, 129] if method not in ("rice:0", "rice:4") and "golomb" not in method else [9, 0, 300]]:
+        blocks = bs.encode(array(spark, v), method, 64)
+        assert {r["pos"]: r["v"] for r in bs.decode(blocks, method).collect()} == dict(enumerate(v)), v[:5]
+    with pytest.raises(Exception, match="0 or more"):
+        bs.encode(array(spark, [-1]), method).collect()
+
+
+def test_bitstream_sizes(spark):
+    from rangeloom.operators import bitstreams as bs
+
+    v = [random.Random(5).choice([0] * 12 + [1] * 3 + [2]) for _ in range(512)]
+    size = {m: bs.encode(array(spark, v), m).select(F.length("payload")).head()[0] for m in ("gamma", "huffman", "arithmetic", "adaptive", "rans")}
+    bits = cd.sizes(array(spark, v)).head()
+    assert size["huffman"] == -(-bits["huffman_bits"] // 8) and abs(size["arithmetic"] - bits["entropy_bits"] / 8) < 3 and abs(size["rans"] - bits["entropy_bits"] / 8) < 10 and size["adaptive"] < size["huffman"] + 4

@@ -146,12 +146,14 @@ def test_overlap_join_random(spark):
 def test_asof_random(spark):
     rng = random.Random(3)
     at = sorted(rng.sample(range(5000), 60))
-    rows = spark.createDataFrame([("k", x, i) for i, x in enumerate(at)], "k string, at bigint, i bigint")
-    points = spark.createDataFrame([("k", p) for p in range(-5, 5100, 7)] + [("k", at[4]), ("z", 3)], "k string, pos bigint")
+    rows = spark.createDataFrame([("k", x, i) for i, x in enumerate(at)] + [(None, 2, 7), ("k", None, 8)], "k string, at bigint, i bigint")
+    points = spark.createDataFrame([("k", p) for p in range(-5, 5100, 7)] + [("k", at[4]), ("z", 3), (None, 3), ("k", None)], "k string, pos bigint")
     for width in (16, 1 << 16):
         for ahead in (False, True):
-            for r in asof_join(points, rows, ["k"], "pos", "at", "hit", ahead, width).collect():
-                hits = [x for x in at if (x > r["pos"] if ahead else x <= r["pos"])] if r["k"] == "k" else []
+            out = asof_join(points, rows, ["k"], "pos", "at", "hit", ahead, width).collect()
+            assert len(out) == points.count()
+            for r in out:
+                hits = [x for x in at if (x > r["pos"] if ahead else x <= r["pos"])] if r["k"] == "k" and r["pos"] is not None else []
                 assert (r["hit"]["at"] if r["hit"] else None) == ((hits[0] if ahead else hits[-1]) if hits else None)
 
 
