@@ -15,8 +15,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import pretokens
 
@@ -201,17 +203,47 @@ def counts(docs: DataFrame, key: str = "doc_id", text: str = "text", folder: str
     return _through_words(docs, key, text, folder, vocabulary, True)
 
 
+@functools.cache
+def token_bytes(ranks_file: str) -> pa.Array:
+    """The token-byte table: the bytes of each id; an id that the file doesn't have (a special token) has none."""
+    with open(ranks_file, "rb") as f:
+        table = {int(b): base64.b64decode(a) for a, b in (x.split() for x in f if x.strip())}
+    return pa.array([table.get(i, b"") for i in range(max(table) + 1)], pa.binary())
+
+
 def decode(encoded: DataFrame, key: str = "doc_id", ids: str = "ids", folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
-    """``(doc_id, text)``: the texts of lists of ids, by a join with the table of the tokens' bytes.
+    """``(doc_id, text)``: the texts of lists of ids, by a join of each id with the token-byte table.
 
-    The table has one row per token of the vocabulary (about 50,000, a proven bound), so it is broadcast. A text is
-    null if its bytes aren't UTF-8, and empty for an empty or null list. Keys must be unique.
+    The table has one row per token of the vocabulary (about 50,000, a proven bound), so every worker holds it and joins
+    whole batches by position, without a shuffle. A text is null if its bytes aren't UTF-8, and empty for an empty or null
+    list. An id outside the table raises.
     """
-    spark = encoded.sparkSession
-    with open(f"{folder}/{vocabulary}.tiktoken", "rb") as f:
-        rows = [(int(b), base64.b64decode(a)) for a, b in (x.split() for x in f if x.strip())]
-    tokens = spark.createDataFrame(rows, "_id int, _bytes binary")
-    each = encoded.select(F.col(key), F.posexplode_outer(ids).alias("_p", "_t")).join(F.broadcast(tokens), F.col("_t") == F.col("_id"), "left")
-    text = each.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_p", F.coalesce("_bytes", F.lit(b"")).alias("_bytes")))).alias("_l"))
-    joined = F.expr("unhex(array_join(transform(_l, x -> hex(x._bytes)), ''))")
-    return text.select(key, F.when(F.is_valid_utf8(joined.cast("string")), joined.cast("string")).alias("text"))
+    ranks = f"{folder}/{vocabulary}.tiktoken"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = token_bytes(ranks)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                lists = part.column(1)
+                bytes_ = table.take(lists.flatten().cast(pa.int64()))
+                size = pc.binary_length(bytes_).to_numpy(zero_copy_only=False)
+                ends = np.append(0, np.cumsum(size, dtype=np.int64))
+                count = np.append(0, np.cumsum(pc.fill_null(lists.value_lengths(), 0).to_numpy(zero_copy_only=False)))
+                data = np.frombuffer(b"".join(bytes_.to_pylist()), np.uint8)
+                whole = pretokens.as_binary(data, ends[count])
+                try:
+                    text = whole.cast(pa.string())
+                except pa.ArrowInvalid:
+                    text = pa.array([_valid(x) for x in whole.to_pylist()], pa.string())
+                yield pa.RecordBatch.from_arrays([part.column(0), text], [key, "text"])
+
+    rows = encoded.select(key, F.col(ids).cast("array<int>").alias("_ids"))
+    return rows.mapInArrow(run, T.StructType([rows.schema[key], T.StructField("text", T.StringType())]))
+
+
+def _valid(x: bytes) -> str | None:
+    try:
+        return x.decode()
+    except UnicodeDecodeError:
+        return None

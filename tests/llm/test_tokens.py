@@ -81,3 +81,9 @@ def test_all_documents(spark, data, library):
     rows = docs.select("doc_id", "text").collect()
     want = {r["doc_id"]: e.ids for r, e in zip(rows, library.encode_batch([r["text"] or "" for r in rows], add_special_tokens=False))}
     assert {r["doc_id"]: r["ids"] for r in tokens.encode(docs).collect()} == want
+
+
+def test_decode_odd_lists(spark):
+    df = spark.createDataFrame([(1, []), (2, None), (3, [0, 1]), (4, [50255]), (5, [94])], "doc_id bigint, ids array<int>")
+    got = {r["doc_id"]: r["text"] for r in tokens.decode(df).collect()}
+    assert got[1] == got[2] == "" and got[3] == '!"' and got[5] is None and len(got) == 5
