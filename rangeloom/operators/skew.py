@@ -69,13 +69,15 @@ def heavy_keys(df: DataFrame, key: str = "chrom", share: float = 0.05) -> DataFr
     return n.where(F.col("n") * F.lit(part.denominator) >= F.lit(part.numerator * rows))
 
 
-def key_profile(df: DataFrame, key: str = "chrom", st: str = "st", ed: str = "ed", val: str = "val", share: float = 0.05) -> DataFrame:
+def key_profile(df: DataFrame, key: str = "chrom", st: str = "st", ed: str = "ed", val: str = "val", share: float | None = None) -> DataFrame:
     """Per non-null key: ``rows``, ``covered`` positions, ``valued`` rows, ``val_min, val_max, val_sum, val_mean, val_std``.
 
     ``covered`` counts positions of at least one row with ``st < ed``; rows without a valid interval count in ``rows``
     and, where ``val`` is neither null nor NaN, in the statistics. ``val_sum`` is an exact decimal sum to six places.
+    Keys with ``share`` of all rows are heavy; by default those with more rows than an average shuffle partition.
     """
     spark = df.sparkSession
+    share = share or min(0.05, 1 / int(spark.conf.get("spark.sql.shuffle.partitions")))
     v = F.when(~F.isnan(val), F.col(val))
     rows = df.where(F.col(key).isNotNull()).select(F.col(key).alias("_k"), F.col(st).alias("_a"), F.col(ed).alias("_b"), v.alias("_v"))
     heavy = spark.createDataFrame([(k,) for k in candidates(df, key, share)[0]], "_h string")
