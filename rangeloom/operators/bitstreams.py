@@ -2,7 +2,8 @@
 
 Codes are sequential within a block, so blocks of fixed size are coded in Arrow batches, each by itself. Values are 0 or
 more. ``method`` is ``gamma``, ``delta``, ``fibonacci``, ``rice:k``, ``golomb:m`` or ``vbyte`` (codes of single values), ``huffman``, ``arithmetic``
-or ``rans`` (by the block's counts, which are stored with it), or ``adaptive`` (arithmetic by the counts so far; the block's alphabet is stored).
+or ``rans`` (by the block's counts, which are stored with it), ``adaptive`` (arithmetic by the counts so far) or ``adaptive_huffman`` (Huffman by
+the counts so far, renewed every 16 values); the adaptive ones store the block's alphabet.
 """
 
 from __future__ import annotations
@@ -131,6 +132,43 @@ def _bits(payload: bytes) -> str:
     return format(int.from_bytes(b"\x01" + payload, "big"), "b")[1:]
 
 
+RENEW = 16
+
+
+def _growing_codes(k: int) -> Iterator[tuple[dict[int, str], Callable[[int], None]]]:
+    """For each value in turn the code of the symbols 0..k-1 by their counts so far, and a function that counts the value."""
+    counts, n = dict.fromkeys(range(k), 1), 0
+
+    def seen(s: int) -> None:
+        counts[s] += 1
+
+    while True:
+        if n % RENEW == 0:
+            code = canonical(huffman_lengths(counts))
+        n += 1
+        yield code, seen
+
+
+def growing_encode(symbols: list[int], k: int) -> bytes:
+    out = []
+    for s, (code, seen) in zip(symbols, _growing_codes(k)):
+        out.append(code[s])
+        seen(s)
+    return _packed("".join(out))
+
+
+def growing_decode(payload: bytes, n: int, k: int) -> list[int]:
+    text, at, out = _bits(payload), 0, []
+    for _, (code, seen) in zip(range(n), _growing_codes(k)):
+        back, end = {c: s for s, c in code.items()}, at + 1
+        while text[at:end] not in back:
+            end += 1
+        out.append(back[text[at:end]])
+        seen(out[-1])
+        at = end
+    return out
+
+
 TOP, HALF, QUARTER = 1 << 32, 1 << 31, 1 << 30
 
 
@@ -240,7 +278,7 @@ def encode(array: DataFrame, method: str, size: int = BLOCK) -> DataFrame:
             if min(values) < 0:
                 raise ValueError("values must be 0 or more")
             symbols, counts = [], []
-            if method in ("huffman", "arithmetic", "rans", "adaptive"):
+            if method in ("huffman", "arithmetic", "rans", "adaptive", "adaptive_huffman"):
                 have = Counter(values)
                 symbols = sorted(have)
                 counts = [have[s] for s in symbols]
@@ -249,6 +287,8 @@ def encode(array: DataFrame, method: str, size: int = BLOCK) -> DataFrame:
                 if method == "huffman":
                     code = canonical(huffman_lengths(dict(enumerate(counts))))
                     payload = _packed("".join(code[s] for s in coded))
+                elif method == "adaptive_huffman":
+                    payload = growing_encode(coded, len(symbols))
                 else:
                     payload = rans_encode(coded, counts) if method == "rans" else arithmetic_encode(coded, counts, method == "adaptive")
             else:
@@ -280,6 +320,8 @@ def decode(blocks: DataFrame, method: str) -> DataFrame:
                             at = ""
                 elif method in ("arithmetic", "adaptive"):
                     out = arithmetic_decode(r["payload"], n, counts, method == "adaptive")
+                elif method == "adaptive_huffman":
+                    out = growing_decode(r["payload"], n, len(symbols))
                 elif method == "rans":
                     out = rans_decode(r["payload"], n, counts)
                 else:

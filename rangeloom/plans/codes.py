@@ -16,7 +16,7 @@ from .sequences import ARRAY, array
 
 
 #: Codes whose packed blocks are decoded again by a query of their own.
-PACKED = ("gamma", "delta", "fibonacci", "rice:4", "golomb:11", "vbyte", "huffman", "arithmetic", "adaptive", "rans")
+PACKED = ("gamma", "delta", "fibonacci", "rice:4", "golomb:11", "vbyte", "huffman", "arithmetic", "adaptive", "adaptive_huffman", "rans")
 
 
 def words(spark, d):

@@ -109,7 +109,7 @@ def test_text(spark):
     assert [tuple(r) for r in p] == [("a/b", "c.txt", ".txt"), ("", "c", ""), ("x", ".hid", "")]
 
 
-@pytest.mark.parametrize("method", ["gamma", "delta", "fibonacci", "rice:0", "rice:4", "golomb:1", "golomb:5", "golomb:8", "vbyte", "huffman", "arithmetic", "adaptive", "rans"])
+@pytest.mark.parametrize("method", ["gamma", "delta", "fibonacci", "rice:0", "rice:4", "golomb:1", "golomb:5", "golomb:8", "vbyte", "huffman", "arithmetic", "adaptive", "adaptive_huffman", "rans"])
 def test_bitstreams(spark, method):
     from rangeloom.operators import bitstreams as bs
 
