@@ -122,9 +122,20 @@ def _assign(capacity: int, segments: int, loss_limit: int, pool: int):
             held = held[np.lexsort((held[:, 1], held[:, 0]))]
             made = pack(held[:, 3], held[:, 4], capacity, segments, loss_limit)
             sums = [int(held[m, 3].sum()) for m in made]
-            shut = [m for m, s in zip(made, sums) if final or s >= FULL * capacity or len(m) >= segments]
-            if not final and not shut:  # nothing would be done: shut the fuller half
-                shut = [m for _, m in sorted(zip(sums, made), reverse=True)[: (len(made) + 1) // 2]]
+            if final:
+                shut = made
+            else:
+                # well filled, or not to be filled further; then the fuller ones, so that half of the pool is free again
+                ranked = sorted(range(len(made)), key=lambda i: (-sums[i], made[i]))
+                done = {i for i in ranked if sums[i] >= FULL * capacity or len(made[i]) >= segments or int(held[made[i], 4].sum()) > loss_limit}
+                left = len(held) - sum(len(made[i]) for i in done)
+                for i in ranked:
+                    if left <= pool // 2:
+                        break
+                    if i not in done:
+                        done.add(i)
+                        left -= len(made[i])
+                shut = [made[i] for i in sorted(done)]
             if shut:
                 size = np.array([len(m) for m in shut])
                 rows = held[np.concatenate([np.array(m) for m in shut])]
@@ -155,10 +166,7 @@ def _assign(capacity: int, segments: int, loss_limit: int, pool: int):
             rows = np.stack([doc[at], piece, begin, size, bears], 1)
             held = np.concatenate([held, rows])
             while len(held) >= pool:
-                before = len(held)
                 yield from flush(False)
-                if len(held) >= before:
-                    break
         yield from flush(True)
 
     return run

@@ -52,6 +52,14 @@ def test_fill(spark):
     assert packing.fill(df.limit(0)).collect() == []
 
 
+def test_items_that_fit_nothing(spark):
+    # each takes a container of its own, by length or by loss: pools must not fill up with them
+    df = spark.range(6000).selectExpr("id as doc_id", "cast(5000 + id % 3 as bigint) as n_tokens", "cast(0 as bigint) as loss_tokens")
+    df = df.unionByName(spark.range(3000).selectExpr("id + 10000 as doc_id", "cast(7500 as bigint) as n_tokens", "cast(7400 as bigint) as loss_tokens")).coalesce(1)
+    out = packing.fill(df, pool=500).groupBy("container").count()
+    assert out.count() == 9000 and out.agg({"count": "max"}).head()[0] == 1
+
+
 def test_found_is_by_length(spark, data):
     from rangeloom.llm import plans
 
