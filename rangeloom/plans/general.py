@@ -9,7 +9,7 @@ from ..sources import interval_text
 from ..tables import table
 
 COVERED_SQL = """
-WITH e AS (SELECT track_id, chrom, st, ed, max(ed) OVER (PARTITION BY track_id, chrom ORDER BY st, ed, row_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) pe
+WITH e AS (SELECT row_id, track_id, chrom, st, ed, max(ed) OVER (PARTITION BY track_id, chrom ORDER BY st, ed, row_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) pe
            FROM bed_signal WHERE chrom IS NOT NULL AND st < ed),
 g AS (SELECT *, sum(CASE WHEN pe IS NULL OR st > pe THEN 1 ELSE 0 END) OVER (PARTITION BY track_id, chrom ORDER BY st, ed, row_id ROWS UNBOUNDED PRECEDING) grp,
              CASE WHEN st < pe THEN 1 ELSE 0 END hit FROM e),
