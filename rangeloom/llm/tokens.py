@@ -227,10 +227,13 @@ def decode(encoded: DataFrame, key: str = "doc_id", ids: str = "ids", folder: st
                 part = batch.slice(at, 1000)
                 lists = part.column(1)
                 bytes_ = table.take(lists.flatten().cast(pa.int64()))
-                size = pc.binary_length(bytes_).to_numpy(zero_copy_only=False)
-                ends = np.append(0, np.cumsum(size, dtype=np.int64))
                 count = np.append(0, np.cumsum(pc.fill_null(lists.value_lengths(), 0).to_numpy(zero_copy_only=False)))
-                data = np.frombuffer(b"".join(bytes_.to_pylist()), np.uint8)
+                # the taken bytes lie one behind the other, so a text is a slice of them
+                if len(bytes_):
+                    ends = np.frombuffer(bytes_.buffers()[1], np.int32)[bytes_.offset : bytes_.offset + len(bytes_) + 1].astype(np.int64)
+                    data = np.frombuffer(bytes_.buffers()[2] or b"", np.uint8)
+                else:
+                    ends, data = np.zeros(1, np.int64), np.zeros(0, np.uint8)
                 whole = pretokens.as_binary(data, ends[count])
                 try:
                     text = whole.cast(pa.string())
