@@ -42,15 +42,16 @@ def join_on(a: DataFrame, b: DataFrame, keys: Sequence[str], how: str = "left")
 
 def scan(
     df: DataFrame, keys: Sequence[str], shard: str, order: Sequence[str], sums: dict[str, Column] | None = None, inclusive: bool = True,
-    before: tuple[str, Sequence[str]] | None = None, after: tuple[str, Sequence[str]] | None = None,
+    before: tuple[str, Sequence[str]] | None = None, after: tuple[str, Sequence[str]] | None = None, highs: dict[str, Column] | None = None,
 ) -> DataFrame:
-    """``df`` with running sums and neighbours along ``order`` within ``keys``, in one pass and one scan of summaries.
+    """``df`` with running sums, running maxima and neighbours along ``order`` within ``keys``, in one pass and one scan of summaries.
 
     ``sums`` are names and values; nulls count as 0, ``inclusive=False`` leaves out the row itself. ``before`` (``after``) is
-    a name for a struct of columns of the row before (after), null at the ends. ``shard`` must not decrease along
-    ``order``; for neighbours ``order`` must be total. No task gets more than one shard of a key.
+    a name for a struct of columns of the row before (after), null at the ends. ``highs`` are names and values; each gets the
+    largest value of all rows before, null if there is none. ``shard`` must not decrease along ``order``; for neighbours and
+    maxima ``order`` must be total. No task gets more than one shard of a key.
     """
-    keys, sums = list(keys), sums or {}
+    keys, sums, highs = list(keys), sums or {}, highs or {}
     inner = Window.partitionBy(*keys, shard).orderBy(*order)
     upto = inner.rowsBetween(Window.unboundedPreceding, Window.currentRow if inclusive else -1)
     by = F.struct(*order)
@@ -60,6 +61,10 @@ def scan(
     earlier = outer.rowsBetween(Window.unboundedPreceding, -1)
     across = [F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_c_{n}") for n in sums]
     out = {n: F.col(n) + F.col(f"_c_{n}") for n in sums}
+    own += [F.max(v).over(inner.rowsBetween(Window.unboundedPreceding, -1)).alias(n) for n, v in highs.items()]
+    edge += [F.max(v).alias(f"_t_{n}") for n, v in highs.items()]
+    across += [F.max(f"_t_{n}").over(earlier).alias(f"_c_{n}") for n in highs]
+    out |= {n: F.greatest(n, f"_c_{n}") for n in highs}  # nulls don't count
     if before:
         what = F.struct(*before[1])
         own.append(F.lag(what).over(inner).alias("_near_b"))
@@ -74,7 +79,7 @@ def scan(
         out[after[0]] = F.coalesce("_near_a", "_c_a")
     marks = df.groupBy(*keys, shard).agg(*edge).select(*keys, shard, *across)
     got = join_on(df.select("*", *own), marks, [*keys, shard]).withColumns(out)
-    return got.drop(*[f"_c_{n}" for n in sums], "_near_b", "_c_b", "_near_a", "_c_a")
+    return got.drop(*[f"_c_{n}" for n in [*sums, *highs]], "_near_b", "_c_b", "_near_a", "_c_a")
 
 
 def neighbour(

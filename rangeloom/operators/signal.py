@@ -272,8 +272,8 @@ def overlap_violations(rows: DataFrame, keys: tuple[str, ...] = ("track_id", "ch
     k = F.struct(*keys)
     s = rows.where("st is not null and ed is not null and chrom is not null").select(k.alias("_k"), "st", "ed").groupBy("_k", "st", "ed").agg(F.count(F.lit(1)).alias("_n"))
     s = s.withColumn("_s", shard_of(F.col("st"), SHARD))
-    s = neighbour(s, ["_k"], "_s", ["st", "ed"], ["ed"], "before")
-    p = F.when(F.col("ed") <= F.col("st"), "empty").when((F.col("before.ed") > F.col("st")) | (F.col("_n") > 1), "overlap")
+    s = scan(s, ["_k"], "_s", ["st", "ed"], highs={"_until": F.col("ed")})
+    p = F.when(F.col("ed") <= F.col("st"), "empty").when((F.col("_until") > F.col("st")) | (F.col("_n") > 1), "overlap")
     return s.select("_k.*", "st", "ed", p.alias("problem")).where("problem is not null")
 
 

@@ -2,7 +2,8 @@
 
 import pytest
 
-from rangeloom.plans import sequences
+from rangeloom.operators import signal as sg
+from rangeloom.plans import sequences, signals
 
 from .oracle import assert_same, views
 
@@ -26,3 +27,21 @@ def test_ranges_from_every_position(spark, data, con, name):
     assert_same(df, con, RANGES[name])
     if name != "seq_box_list":
         assert df.count() == con.execute("SELECT count(*) FROM part").fetchone()[0]
+
+
+OVERLAPS = """
+WITH e AS (SELECT track_id, chrom, st, ed, count(*) n FROM bed_signal WHERE st IS NOT NULL AND ed IS NOT NULL AND chrom IS NOT NULL GROUP BY ALL),
+l AS (SELECT *, max(ed) OVER (PARTITION BY track_id, chrom ORDER BY st, ed ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) p FROM e),
+p AS (SELECT track_id, chrom, st, ed, CASE WHEN ed <= st THEN 'empty' WHEN p > st OR n > 1 THEN 'overlap' END problem FROM l) SELECT * FROM p WHERE problem IS NOT NULL"""
+
+
+@pytest.mark.parametrize("width", [16, 1 << 16])
+def test_nested_overlaps(spark, width, monkeypatch):
+    monkeypatch.setattr(sg, "SHARD", width)
+    rows = [(1, "c", 0, 100), (1, "c", 10, 20), (1, "c", 50, 60), (1, "c", 100, 110), (2, "c", 50, 60)]
+    df = spark.createDataFrame(rows, "track_id bigint, chrom string, st bigint, ed bigint")
+    assert {tuple(r) for r in sg.overlap_violations(df).collect()} == {(1, "c", 10, 20, "overlap"), (1, "c", 50, 60, "overlap")}
+
+
+def test_validate_overlap(spark, data, con):
+    assert_same(signals.queries()["validate_overlap"](spark, data), con, OVERLAPS)
