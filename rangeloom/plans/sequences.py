@@ -8,6 +8,7 @@ from ..operators import points as pts
 from ..operators import sequence as sq
 from ..tables import table
 
+# the SQL's; the queries take as many from the table's extent
 EDGES_X = [100, 250, 500, 1000, 1500, 1900, 5000, 19000]
 EDGES_Y = [5, 20, 50, 77, 90, 500, 950]
 
@@ -42,6 +43,28 @@ def boxes(spark, d):
     return table(spark, d, "supplier").selectExpr("s_suppkey as qid", "s_suppkey * 3 as x1", "s_suppkey * 7 + 40 as x2", "s_suppkey + 30 as y1", "s_suppkey as y2")
 
 
+def extent(p):
+    """``(x1, x2, y1, y2)``: the least rectangle ``[x1, x2) x [y1, y2)`` that holds all points, of one position if there is none."""
+    r = p.where("x is not null and y is not null").selectExpr("min(x) as x1", "max(x) + 1 as x2", "min(y) as y1", "max(y) + 1 as y2").head()
+    return (0, 1, 0, 1) if r["x1"] is None else tuple(map(int, r))
+
+
+def edges(lo, hi, n):
+    """``n`` edges at equal steps over ``[lo, hi)``; the last is ``hi``."""
+    return [lo + (hi - lo) * (i + 1) // n for i in range(n)]
+
+
+def grid(p):
+    x1, x2, y1, y2 = extent(p)
+    return pts.grid_count(p, edges(x1, x2, len(EDGES_X)), edges(y1, y2, len(EDGES_Y)))
+
+
+def heat(p, nx=17, ny=9):
+    """All points in ``nx`` times ``ny`` bins; over an extent of fewer positions than bins the last ones lie beyond it."""
+    x1, x2, y1, y2 = extent(p)
+    return pts.heatmap(p, x1, max(x2, x1 + nx), y1, max(y2, y1 + ny), nx, ny)
+
+
 def queries() -> dict:
     def on(src, f):
         return lambda spark, d: f(src(spark, d))
@@ -91,8 +114,8 @@ def queries() -> dict:
         "dominance_count": two(points, corner, lambda p, q: sq.dominance(p, q, "x", "y")),
         "rect_count": two(points, boxes, lambda p, b: sq.box_count(p, b, "x", "y")),
         "rect_list": two(points, boxes, lambda p, b: sq.in_boxes(p, b, "x", "y")),
-        "grid_count": on(points, lambda p: pts.grid_count(p, EDGES_X, EDGES_Y)),
-        "heatmap": on(points, lambda p: pts.heatmap(p, 10, 1999, 3, 97, 17, 9)),
+        "grid_count": on(points, grid),
+        "heatmap": on(points, heat),
         "point_count": on(points, lambda p: p.agg(F.count(F.lit(1)).alias("n"))),
     }
 

@@ -45,3 +45,21 @@ def test_nested_overlaps(spark, width, monkeypatch):
 
 def test_validate_overlap(spark, data, con):
     assert_same(signals.queries()["validate_overlap"](spark, data), con, OVERLAPS)
+
+
+def test_grid_and_heatmap_hold_every_point(spark, data, con):
+    p = con.execute("SELECT l_partkey, l_suppkey FROM lineitem").fetchall()
+    (x1, x2), (y1, y2) = ((min(v), max(v) + 1) for v in zip(*p))
+    ex, ey = ([lo + (hi - lo) * (i + 1) // n for i in range(n)] for lo, hi, n in ((x1, x2, 8), (y1, y2, 7)))
+    got = {(r["i"], r["j"]): r["n"] for r in sequences.queries()["grid_count"](spark, data).collect()}
+    assert got == {(i, j): sum(x < a and y < b for x, y in p) for i, a in enumerate(ex) for j, b in enumerate(ey)}
+    assert got[7, 6] == len(p)
+    heat = {(r["bx"], r["by"]): r["n"] for r in sequences.queries()["heatmap"](spark, data).collect()}
+    assert set(heat) == {(i, j) for i in range(17) for j in range(9)} and sum(heat.values()) == len(p)
+
+
+def test_small_extents(spark):
+    for rows in ([], [(5, 7), (6, 7), (None, 3)]):
+        p = spark.createDataFrame(rows, "x bigint, y bigint")
+        n = sum(None not in r for r in rows)
+        assert sequences.heat(p).agg({"n": "sum"}).head()[0] == n and sequences.grid(p).agg({"n": "max"}).head()[0] == n
