@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import signal as sg
 from ..operators.joins import overlap_join
+from ..operators.sharding import join_on
 from ..tables import table, written
 
 SIGNAL = """
@@ -90,6 +91,16 @@ def queries() -> dict:
         at = F.posexplode(F.array("st", "ed", F.expr("(st + ed) div 2"))).alias("which", "pos")
         return regions(spark, d).where("chrom is not null").select("region_id", "chrom", at).withColumn("which", F.col("which").cast("int"))
 
+    def lengths(s, p):
+        """``pos`` as a length: scaled from the chrom's extent to its covered bases; as it is where there is no signal."""
+        total = s.groupBy("chrom").agg(F.sum(F.col("ed") - F.col("st")).alias("_cov"), F.max("ed").alias("_end"))
+        scaled = F.expr("case when _end > 0 then cast(pos as decimal(19,0)) * _cov div _end else pos end")
+        return join_on(p, total, ["chrom"]).withColumn("pos", scaled).drop("_cov", "_end")
+
+    def found_lengths(spark, d):
+        s = signal(spark, d)
+        return sg.covered_at_length(s, lengths(s, points(spark, d)))
+
     def both(f):
         return lambda spark, d: f(signal(spark, d), regions(spark, d))
 
@@ -111,7 +122,7 @@ def queries() -> dict:
         "list_intervals": both(sg.listed),
         "base_value_map": lambda spark, d: sg.base_values(signal(spark, d), asked(spark, d)),
         "find_intervals": both(sg.found_ranges),
-        "find_rlen": lambda spark, d: sg.covered_at_length(signal(spark, d), points(spark, d).withColumn("pos", F.expr("pos % 100000"))),
+        "find_rlen": found_lengths,
         "semi_overlap": both(lambda s, r: overlap_join(sg.valid_regions(r), s, how="left_semi").select("region_id")),
         "anti_overlap": both(lambda s, r: overlap_join(sg.valid_regions(r), s, how="left_anti").select("region_id")),
         "signal": lambda spark, d: sg.composite(table(spark, d, "bed_signal")),

@@ -63,3 +63,16 @@ def test_small_extents(spark):
         p = spark.createDataFrame(rows, "x bigint, y bigint")
         n = sum(None not in r for r in rows)
         assert sequences.heat(p).agg({"n": "sum"}).head()[0] == n and sequences.grid(p).agg({"n": "max"}).head()[0] == n
+
+
+LENGTHS = signals.SIGNAL + """, z AS (SELECT chrom, sum(ed - st) cv, max(ed) le FROM s GROUP BY 1),
+q AS (SELECT region_id, which, pt.chrom, CASE WHEN le > 0 THEN (pos::HUGEINT * cv // le)::BIGINT ELSE pos END pos FROM pt LEFT JOIN z ON pt.chrom = z.chrom)
+SELECT region_id, which, q.chrom, pos, coalesce(idx + 1, 0) AS idx FROM q ASOF LEFT JOIN c ON q.chrom = c.chrom AND pos > cov0"""
+
+
+def test_lengths_over_all_covered_bases(spark, data, con):
+    df = signals.queries()["find_rlen"](spark, data)
+    assert_same(df, con, LENGTHS)
+    total = dict(con.execute(signals.SIGNAL + " SELECT chrom, sum(ed - st)::BIGINT FROM s GROUP BY 1").fetchall())
+    far = {r["chrom"]: r["far"] for r in df.groupBy("chrom").agg({"pos": "max"}).toDF("chrom", "far").collect() if r["chrom"] in total}
+    assert far and all(n >= total[c] - 1 for c, n in far.items())
