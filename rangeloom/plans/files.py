@@ -49,7 +49,8 @@ def queries() -> dict:
         "annotations": lambda spark, d: table(spark, d, "bed_signal").select("row_id", F.coalesce("annotation", F.lit("")).alias("annotation")),
         "track_meta": lambda spark, d: table(spark, d, "track_info").select("track_id", F.coalesce("meta", F.lit("")).alias("meta")),
         "service_answers": lambda spark, d: service.answers(signal(spark, d), addresses(spark, d)),
-        "workload": lambda spark, d: sg.region_summary(signal(spark, d), workload(spark, 5000, 7, table(spark, d, "chrom_sizes").select("chrom", "chrom_len"))).select("region_id", "sum", "cov"),
+        "workload": lambda spark, d: sg.region_summary(signal(spark, d), workload(spark, 50_000, 7, table(spark, d, "chrom_sizes").select("chrom", "chrom_len"))).select("region_id", "sum", "cov"),
+        "workload_fixed": lambda spark, d: sg.region_summary(signal(spark, d), workload(spark, 50_000, 7, table(spark, d, "chrom_sizes").select("chrom", "chrom_len"), width=5_000_000)).select("region_id", "sum", "cov"),
         "stream_windows": lambda spark, d: windows.drained(spark, windows.tumbling(events(spark, d), "event_type", "ts", "value")),
         "stream_sessions": lambda spark, d: windows.drained(spark, windows.sessions(events(spark, d), "event_type", "ts", "5 minutes")),
         "stream_changes": lambda spark, d: windows.drained(spark, windows.changes(events(spark, d).selectExpr("user_id", "event_id", "event_type"), "user_id", "event_id", "event_type"), "append"),

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import trees as tr
+from ..operators.sequence import numbered
+from ..operators.sharding import join_on
 from ..sources import newick
 from ..tables import table
 
@@ -43,6 +45,13 @@ def queries() -> dict:
     def pairs(spark, d):
         return table(spark, d, "part").where("p_partkey >= 1").selectExpr("p_partkey as qid", "p_partkey as a", "1 + (p_partkey * 7919) % p_partkey as b")
 
+    def suppliers(spark, d):
+        """Each supplier's node with one drawn from all suppliers by its place among their keys."""
+        s = numbered(table(spark, d, "supplier").select("s_suppkey"), ["s_suppkey"], "s_suppkey", "i")
+        n = s.count()
+        one = s.selectExpr("s_suppkey as qid", "s_suppkey + 1000000 as a", f"(i * 31 + 7) % {max(n, 1)} as i")
+        return join_on(one, s.selectExpr("i", "s_suppkey + 1000000 as b"), ["i"]).select("qid", "a", "b")
+
     def quantities(spark, d):
         from .sequences import array
 
@@ -54,7 +63,7 @@ def queries() -> dict:
         "tree_depth": on(heap, tr.depths),
         "dfs_interval": on(hierarchy, tr.dfs),
         "lca": lambda spark, d: tr.lca(heap(spark, d), pairs(spark, d)),
-        "lca_hierarchy": lambda spark, d: tr.lca(hierarchy(spark, d), table(spark, d, "supplier").selectExpr("s_suppkey as qid", "s_suppkey + 1000000 as a", "(s_suppkey * 31 + 7) % 10 + 1000000 as b")),
+        "lca_hierarchy": lambda spark, d: tr.lca(hierarchy(spark, d), suppliers(spark, d)),
         "bp_sequence": on(bp, lambda b: b),
         "bp_match": on(bp, tr.matches),
         "bp_enclose": on(bp, tr.enclosing),

@@ -3,7 +3,7 @@
 import pytest
 
 from rangeloom.operators import signal as sg
-from rangeloom.plans import sequences, signals
+from rangeloom.plans import files, sequences, signals, trees
 
 from .oracle import assert_same, views
 
@@ -76,3 +76,23 @@ def test_lengths_over_all_covered_bases(spark, data, con):
     total = dict(con.execute(signals.SIGNAL + " SELECT chrom, sum(ed - st)::BIGINT FROM s GROUP BY 1").fetchall())
     far = {r["chrom"]: r["far"] for r in df.groupBy("chrom").agg({"pos": "max"}).toDF("chrom", "far").collect() if r["chrom"] in total}
     assert far and all(n >= total[c] - 1 for c, n in far.items())
+
+
+def test_second_node_from_all_suppliers(spark, tmp_path):
+    # 30 suppliers, 3 nations, 2 regions; only drawing from the first ten would miss the nation of the others
+    at = lambda name: str(tmp_path / f"{name}.parquet")
+    spark.createDataFrame([(0,), (1,)], "r_regionkey bigint").write.parquet(at("region"))
+    spark.createDataFrame([(0, 0), (1, 0), (2, 1)], "n_nationkey bigint, n_regionkey bigint").write.parquet(at("nation"))
+    nation = lambda k: k // 10
+    spark.createDataFrame([(k * 2, nation(k)) for k in range(30)], "s_suppkey bigint, s_nationkey bigint").write.parquet(at("supplier"))
+    want = {}
+    for k in range(30):
+        o = (k * 31 + 7) % 30
+        a, b = nation(k), nation(o)
+        want[k * 2] = 1000000 + 2 * k if k == o else 1000 + a if a == b else 0 if {a, b} == {0, 1} else None
+    assert {r["qid"]: r["lca"] for r in trees.queries()["lca_hierarchy"](spark, str(tmp_path)).collect()} == want
+
+
+@pytest.mark.parametrize("name", ["workload", "workload_fixed"])
+def test_workload_size(spark, data, name):
+    assert files.queries()[name](spark, data).count() == 50_000
