@@ -7,9 +7,9 @@ word loads no bucket more than others; sums by first word (discounted mass) and
 predecessors) are asked of buckets of word hashes and answered in the order asked. A block of documents asks for each of
 its pairs once. All of this travels as packed arrays, a row per block and bucket.
 
-Perplexity can't give the exact share of repeated words: no bound ties the one to the other. But a word sequence that
-comes twice in a document is made of pairs that the model has counted twice, so the model's counts give the documents
-that can be cases (``known`` words), none is lost, and an exact count of the sequences follows.
+Perplexity can't give the exact share of repeated words: no bound ties the one to the other. That share comes from an
+exact count of the sequences of every document, beside the model. A word sequence that comes twice in a document is made of
+pairs that the model has counted twice, so the count of ``known`` words is implied by it and decides nothing.
 """
 
 from __future__ import annotations
@@ -464,8 +464,8 @@ def judged(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
 def repetitive(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", least: int = 50, share: int = 60) -> DataFrame:
     """``(doc_id)`` of the texts with ``least`` words or more of which at least ``share`` % are repeated.
 
-    The model's counts give the candidates (``share`` % of the words in pairs known to the corpus, which every case
-    has), the exact count of repeated words decides.
+    The exact count of repeated words, made for every document, decides; ``known`` (the words in pairs known to the corpus)
+    is at least as large for each case, so filtering by it first changes no row.
     """
     s = scores(docs, key, text, lang).where(F.col("n_words") >= least)
     can_be = s.where(F.col("known") * 100 >= F.col("n_words") * share)
