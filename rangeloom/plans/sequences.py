@@ -8,9 +8,8 @@ from ..operators import points as pts
 from ..operators import sequence as sq
 from ..tables import table
 
-# the SQL's; the queries take as many from the table's extent
-EDGES_X = [100, 250, 500, 1000, 1500, 1900, 5000, 19000]
-EDGES_Y = [5, 20, 50, 77, 90, 500, 950]
+#: Edges along both axes of grid_count.
+COLUMNS, ROWS = 8, 7
 
 
 def seq(spark, d):
@@ -56,7 +55,7 @@ def edges(lo, hi, n):
 
 def grid(p):
     x1, x2, y1, y2 = extent(p)
-    return pts.grid_count(p, edges(x1, x2, len(EDGES_X)), edges(y1, y2, len(EDGES_Y)))
+    return pts.grid_count(p, edges(x1, x2, COLUMNS), edges(y1, y2, ROWS))
 
 
 def heat(p, nx=17, ny=9):
@@ -120,15 +119,14 @@ def queries() -> dict:
     }
 
 
-SEQ = "WITH q AS (SELECT p_partkey pos, p_size::BIGINT c FROM part), g AS (SELECT p_partkey qid, p_partkey b, p_partkey + 150 e, p_partkey % 60 k FROM part WHERE p_partkey % 97 = 0)"
+SEQ = "WITH q AS (SELECT p_partkey pos, p_size::BIGINT c FROM part), g AS (SELECT p_partkey qid, p_partkey b, p_partkey + 150 e, p_partkey % 60 k FROM part)"
 BITS = "WITH b AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 pos, o_orderstatus = 'F' bit FROM orders)"
+EXTENT = "WITH p AS (SELECT l_partkey x, l_suppkey y FROM lineitem WHERE l_partkey IS NOT NULL AND l_suppkey IS NOT NULL), z AS (SELECT min(x) x1, max(x) + 1 x2, min(y) y1, max(y) + 1 y2 FROM p)"
 ARRAY = """WITH a AS (SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) - 1 pos, l_quantity::BIGINT v FROM lineitem)"""
 
 
 def oracle_sql() -> dict[str, str]:
     rmq = ARRAY + ", r AS (SELECT o_orderkey qid, o_orderkey b, o_orderkey + 1 + o_custkey % 300 e FROM orders) SELECT qid, {0}(v) AS {0}, {1} AS {0}_at FROM r LEFT JOIN a ON pos >= b AND pos < e GROUP BY qid"
-    x = ", ".join(map(str, EDGES_X))
-    y = ", ".join(map(str, EDGES_Y))
     return {
         "seq_access": SEQ + " SELECT pos, c FROM q",
         "seq_rank": SEQ + " SELECT pos, c, row_number() OVER (PARTITION BY c ORDER BY pos) - 1 AS rank FROM q",
@@ -159,10 +157,11 @@ SELECT target, coalesce(pos, (SELECT count(*) FROM a)) AS rank FROM t ASOF LEFT
         "dominance_count": "SELECT s_suppkey AS qid, count(l_partkey) AS n FROM supplier LEFT JOIN lineitem ON l_partkey < s_suppkey * 19 AND l_suppkey < s_suppkey GROUP BY 1",
         "rect_count": "SELECT s_suppkey AS qid, count(l_partkey) AS n FROM supplier LEFT JOIN lineitem ON l_partkey >= s_suppkey * 3 AND l_partkey < s_suppkey * 7 + 40 AND l_suppkey >= s_suppkey AND l_suppkey < s_suppkey + 30 GROUP BY 1",
         "rect_list": "SELECT s_suppkey AS qid, l_partkey AS x, l_suppkey AS y FROM supplier JOIN lineitem ON l_partkey >= s_suppkey * 3 AND l_partkey < s_suppkey * 7 + 40 AND l_suppkey >= s_suppkey AND l_suppkey < s_suppkey + 30",
-        "grid_count": f"WITH e AS (SELECT * FROM (SELECT unnest([{x}]) ex, generate_subscripts([{x}], 1) - 1 i), (SELECT unnest([{y}]) ey, generate_subscripts([{y}], 1) - 1 j)) SELECT i::INTEGER AS i, j::INTEGER AS j, count(l_partkey) AS n FROM e LEFT JOIN lineitem ON l_partkey < ex AND l_suppkey < ey GROUP BY ALL",
-        "heatmap": """WITH g AS (SELECT * FROM (SELECT unnest(range(17)) bx), (SELECT unnest(range(9)) by_)),
-p AS (SELECT l_partkey - 10 x, l_suppkey - 3 y FROM lineitem WHERE l_partkey >= 10 AND l_partkey < 1999 AND l_suppkey >= 3 AND l_suppkey < 97),
-c AS (SELECT CASE WHEN x < 0 * 118 THEN x // 118 ELSE 0 + (x - 0 * 118) // 117 END bx, CASE WHEN y < 4 * 11 THEN y // 11 ELSE 4 + (y - 44) // 10 END by_, count(*) n FROM p GROUP BY ALL)
-SELECT bx::INTEGER AS bx, by_::INTEGER AS by, coalesce(n, 0) AS n FROM g LEFT JOIN c USING (bx, by_)""",
+        "grid_count": EXTENT + f""", e AS (SELECT i, j, x1 + (x2 - x1) * (i + 1) // {COLUMNS} ex, y1 + (y2 - y1) * (j + 1) // {ROWS} ey FROM z, (SELECT unnest(range({COLUMNS})) i), (SELECT unnest(range({ROWS})) j))
+SELECT i::INTEGER AS i, j::INTEGER AS j, count(x) AS n FROM e LEFT JOIN p ON x < ex AND y < ey GROUP BY ALL""",
+        "heatmap": EXTENT + """, h AS (SELECT x1, y1, greatest(x2 - x1, 17) // 17 dx, greatest(x2 - x1, 17) % 17 rx, greatest(y2 - y1, 9) // 9 dy, greatest(y2 - y1, 9) % 9 ry FROM z),
+c AS (SELECT CASE WHEN x - x1 < rx * (dx + 1) THEN (x - x1) // (dx + 1) ELSE rx + (x - x1 - rx * (dx + 1)) // dx END bx,
+             CASE WHEN y - y1 < ry * (dy + 1) THEN (y - y1) // (dy + 1) ELSE ry + (y - y1 - ry * (dy + 1)) // dy END by_, count(*) n FROM p, h GROUP BY ALL)
+SELECT bx::INTEGER AS bx, by_::INTEGER AS by, coalesce(n, 0) AS n FROM (SELECT * FROM (SELECT unnest(range(17)) bx), (SELECT unnest(range(9)) by_)) LEFT JOIN c USING (bx, by_)""",
         "point_count": "SELECT count(*) AS n FROM lineitem",
     }

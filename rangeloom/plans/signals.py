@@ -163,7 +163,9 @@ FROM query_regions WHERE NOT coalesce(chrom IS NOT NULL AND st < ed, false) OR N
         "list_intervals": SIGNAL + " SELECT region_id, s.st, s.ed, s.val FROM r JOIN s ON r.chrom = s.chrom AND s.st < r.ed AND s.ed > r.st",
         "base_value_map": SIGNAL + ", b AS (SELECT region_id, chrom, unnest(range(st, ed)) pos FROM r WHERE region_id < 1000000000) SELECT region_id, pos, CASE WHEN pos < s.ed THEN val END AS val FROM b ASOF LEFT JOIN s ON b.chrom = s.chrom AND b.pos >= s.st",
         "find_intervals": SIGNAL + ' SELECT region_id, min(idx) AS "first", max(idx) + 1 AS "last" FROM r LEFT JOIN c ON r.chrom = c.chrom AND c.st < r.ed AND c.ed > r.st GROUP BY 1',
-        "find_rlen": SIGNAL + ", q AS (SELECT region_id, which, chrom, pos % 100000 pos FROM pt), x AS (SELECT q.*, count(idx) k FROM q LEFT JOIN c ON q.chrom = c.chrom AND cov0 < pos GROUP BY ALL) SELECT region_id, which, chrom, pos, k AS idx FROM x",
+        "find_rlen": SIGNAL + """, z AS (SELECT chrom, sum(ed - st) cv, max(ed) le FROM s GROUP BY 1),
+q AS (SELECT region_id, which, pt.chrom, CASE WHEN le > 0 THEN (pos::HUGEINT * cv // le)::BIGINT ELSE pos END pos FROM pt LEFT JOIN z ON pt.chrom = z.chrom)
+SELECT region_id, which, q.chrom, pos, coalesce(idx + 1, 0) AS idx FROM q ASOF LEFT JOIN c ON q.chrom = c.chrom AND pos > cov0""",
         "semi_overlap": SIGNAL + " SELECT region_id FROM r WHERE EXISTS (SELECT 1 FROM s WHERE r.chrom = s.chrom AND s.st < r.ed AND s.ed > r.st)",
         "anti_overlap": SIGNAL + " SELECT region_id FROM r WHERE NOT EXISTS (SELECT 1 FROM s WHERE r.chrom = s.chrom AND s.st < r.ed AND s.ed > r.st)",
         "signal": SIGNAL + " SELECT chrom, st, ed, val FROM s",
@@ -179,7 +181,7 @@ FROM query_regions WHERE NOT coalesce(chrom IS NOT NULL AND st < ed, false) OR N
         "dense_to_runs": ISLANDS.replace("FROM s WINDOW", "FROM s WHERE val <> 0 WINDOW").format("ped = st AND pv = val", runs.replace(", count(*) AS n", "")),
         "validate_overlap": """
 WITH e AS (SELECT track_id, chrom, st, ed, count(*) n FROM bed_signal WHERE st IS NOT NULL AND ed IS NOT NULL AND chrom IS NOT NULL GROUP BY ALL),
-l AS (SELECT *, lag(ed) OVER (PARTITION BY track_id, chrom ORDER BY st, ed) p FROM e),
+l AS (SELECT *, max(ed) OVER (PARTITION BY track_id, chrom ORDER BY st, ed ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) p FROM e),
 p AS (SELECT track_id, chrom, st, ed, CASE WHEN ed <= st THEN 'empty' WHEN p > st OR n > 1 THEN 'overlap' END problem FROM l) SELECT * FROM p WHERE problem IS NOT NULL""",
         "depth_sweep": """
 WITH e AS (SELECT track_id, chrom, pos, sum(d) d FROM (SELECT track_id, chrom, st pos, 1 d FROM bed_features WHERE st < ed AND chrom IS NOT NULL

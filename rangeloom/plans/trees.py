@@ -95,7 +95,7 @@ def oracle_sql() -> dict[str, str]:
         "tree_depth": HEAP + " SELECT id, max(dist) AS depth FROM cl GROUP BY 1",
         "dfs_interval": HIER + " SELECT id, parent, depth, size, pre, post FROM f",
         "lca": HEAP + ", p AS (SELECT p_partkey qid, p_partkey a, 1 + (p_partkey * 7919) % p_partkey b FROM part WHERE p_partkey >= 1) SELECT qid, arg_min(x.anc, x.dist) AS lca FROM p JOIN cl x ON x.id = a JOIN cl y ON y.id = b AND x.anc = y.anc GROUP BY qid",
-        "lca_hierarchy": HIER + ", k AS (SELECT s_suppkey qid, s_suppkey + 1000000 a, (s_suppkey * 31 + 7) % 10 + 1000000 b FROM supplier), m AS (SELECT qid, arg_min(x.anc, x.dist) lca FROM k JOIN cl x ON x.id = a JOIN cl y ON y.id = b AND x.anc = y.anc GROUP BY qid) SELECT qid, lca FROM k LEFT JOIN m USING (qid)",
+        "lca_hierarchy": HIER + ", o AS (SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) - 1 i, count(*) OVER () n FROM supplier), k AS (SELECT x.s_suppkey qid, x.s_suppkey + 1000000 a, y.s_suppkey + 1000000 b FROM o x JOIN o y ON y.i = (x.i * 31 + 7) % x.n), m AS (SELECT qid, arg_min(x.anc, x.dist) lca FROM k JOIN cl x ON x.id = a JOIN cl y ON y.id = b AND x.anc = y.anc GROUP BY qid) SELECT qid, lca FROM k LEFT JOIN m USING (qid)",
         "bp_sequence": HIER + " SELECT pos, bit FROM p",
         "bp_match": HIER + " SELECT x.pos, x.bit, y.pos AS match FROM p x JOIN p y ON x.id = y.id AND x.bit <> y.bit",
         "bp_enclose": HIER + " SELECT x.pos, y.pos AS enclose FROM p x JOIN t USING (id) LEFT JOIN p y ON y.id = t.parent AND y.bit WHERE x.bit",
