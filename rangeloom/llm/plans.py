@@ -20,7 +20,7 @@ p AS (SELECT track_id, chrom, count(*) n, quantile_disc(val, 0.5) p50, quantile_
 SELECT track_id, chrom FROM p WHERE n >= 30 AND p50 > 0 AND p95 >= 6 * p50"""
 
 REPEATED_SQL = r"""
-WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{Nd}]+') l FROM documents WHERE text IS NOT NULL),
+WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{Nd}][\p{L}\p{M}\p{Nd}]*') l FROM documents WHERE text IS NOT NULL),
 s AS (SELECT doc_id, len(l) n, unnest(l) w, generate_subscripts(l, 1) i FROM w WHERE len(l) >= 50),
 h AS (SELECT doc_id, n, i, w || ' ' || lead(w, 1) OVER o || ' ' || lead(w, 2) OVER o || ' ' || lead(w, 3) OVER o || ' ' || lead(w, 4) OVER o || ' ' || lead(w, 5) OVER o || ' ' || lead(w, 6) OVER o || ' ' || lead(w, 7) OVER o q FROM s WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
 g AS (SELECT doc_id, n, i, row_number() OVER (PARTITION BY doc_id, q ORDER BY i) k FROM h WHERE q IS NOT NULL),
