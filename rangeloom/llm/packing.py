@@ -18,6 +18,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..tables import written
+
 CAPACITY = 8192
 SEGMENTS = 64
 #: Loss-bearing tokens of a container; the rest is left to context.
@@ -61,7 +63,7 @@ def pack(tokens: np.ndarray, loss: np.ndarray, capacity: int = CAPACITY, segment
     """Containers, as lists of item numbers in the order of placing. Every item has 1 to ``capacity`` tokens.
 
     An item with more loss-bearing tokens than ``loss_limit`` gets a container of its own: it couldn't be placed otherwise,
-    and items are never split for it.
+    and items that fit the capacity are never split for it.
     """
     made = [[int(i)] for i in np.flatnonzero(loss > loss_limit)]
     fit = np.flatnonzero(loss <= loss_limit)
@@ -101,6 +103,27 @@ def pack(tokens: np.ndarray, loss: np.ndarray, capacity: int = CAPACITY, segment
     return made
 
 
+def cut(n: np.ndarray, loss: np.ndarray, capacity: int = CAPACITY, loss_limit: int = LOSS_LIMIT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pieces of items: each piece's item number, first token and tokens.
+
+    An item of at most ``capacity`` tokens is one piece. A longer one is cut from its start into pieces that are as long as both
+    limits allow; its loss-bearing tokens are its last ones.
+    """
+    context = n - loss
+    spare = capacity - loss_limit  # a piece with so many tokens of context can be full
+    full = np.where(n > capacity, np.minimum(np.where(context >= spare, np.maximum(context - spare, 0) // capacity + 1, 0), n // capacity), 0)
+    rest = n - full * capacity
+    mixed = np.where(n > capacity, np.minimum(rest, np.maximum(context - full * capacity, 0) + loss_limit), n)  # the piece after the full ones
+    last = -(-(rest - mixed) // loss_limit)  # pieces of loss-bearing tokens only
+    count = np.where(n > capacity, full + (mixed > 0) + last, 1)
+    item = np.repeat(np.arange(len(n)), count)
+    piece = np.arange(len(item)) - np.repeat(np.cumsum(count) - count, count)
+    after = piece - full[item]
+    begin = np.where(after <= 0, piece * capacity, full[item] * capacity + mixed[item] + (after - 1) * loss_limit)
+    size = np.minimum(np.where(after < 0, capacity, np.where(after == 0, mixed[item], loss_limit)), n[item] - begin)
+    return item, begin, size
+
+
 def _assign(capacity: int, segments: int, loss_limit: int, pool: int):
     names = ["doc_id", "piece", "from_token", "n_tokens", "loss_tokens", "container", "segment", "place"]
 
@@ -156,11 +179,8 @@ def _assign(capacity: int, segments: int, loss_limit: int, pool: int):
                 null = pa.nulls(len(z), pa.int64())
                 yield out(np.stack([doc[empty], z, z, z, z], 1), null, null, null)
             doc, n, loss = doc[~empty], n[~empty], loss[~empty]
-            pieces = -(-n // capacity)
-            at = np.repeat(np.arange(len(n)), pieces)
-            piece = np.arange(len(at)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-            begin = piece * capacity
-            size = np.minimum(n[at] - begin, capacity)
+            at, begin, size = cut(n, loss, capacity, loss_limit)
+            piece = np.arange(len(at)) - np.searchsorted(at, at)
             # the loss-bearing tokens are the last ones of a document
             bears = np.clip(begin + size - np.maximum(begin, (n - loss)[at]), 0, size)
             rows = np.stack([doc[at], piece, begin, size, bears], 1)
@@ -178,10 +198,13 @@ def fill(
     """Assigns every item to a container: ``(doc_id, piece, from_token, n_tokens, loss_tokens, container, segment, place)``.
 
     ``segment`` is the item's number in its container and ``place`` the tokens before it there. An item is split only if
-    it has more than ``capacity`` tokens: into pieces of ``capacity`` and one rest. Items without tokens (or null) need no
+    it has more than ``capacity`` tokens, and then so that its pieces keep every limit (:func:`cut`). An item that fits the capacity
+    but has more loss-bearing tokens than ``loss_limit`` is alone in its container, the only kind above that limit. Items without tokens (or null) need no
     container: one row with null ``container``. Null loss counts as 0, more than the tokens as the tokens. Equal keys are
     separate items. A task leaves at most a few containers open to the end; all others are well filled.
     """
+    if capacity < 1 or segments < 1 or not 1 <= loss_limit <= capacity:
+        raise ValueError("capacity and segments must be at least 1, loss_limit from 1 to capacity")
     t = F.greatest(F.coalesce(F.col(n).cast("bigint"), F.lit(0)), F.lit(0))
     use = F.least(F.greatest(F.coalesce(F.col(loss).cast("bigint"), F.lit(0)), F.lit(0)), t)
     rows = sizes.select(F.col(key).cast("bigint").alias("doc_id"), t.alias("n_tokens"), use.alias("loss_tokens"))
@@ -192,3 +215,31 @@ def fill(
 def split_items(assigned: DataFrame) -> DataFrame:
     """``(doc_id)`` of the items that were longer than a container, each once: those that have a second piece."""
     return assigned.where("piece = 1").select("doc_id").distinct()
+
+
+def violations(assigned: DataFrame, capacity: int = CAPACITY, segments: int = SEGMENTS, loss_limit: int = LOSS_LIMIT) -> DataFrame:
+    """One row that counts what an assignment breaks, all 0 if it is right, and ``items``, the number of distinct keys.
+
+    ``over_capacity``, ``over_segments`` and ``over_loss``: containers above a limit (of loss: with two items or more, and pieces
+    of a split item above it); ``misplaced``: containers whose items don't lie one behind the other; ``torn``: items whose pieces aren't each
+    token once; ``needless``: items that are split but fit the capacity. Keys are unique. Read twice, so ``assigned`` is written first.
+    """
+    a = written(assigned, "assigned")
+    count = lambda c: F.count(F.when(c, True))
+    whole = a.groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("pieces"), F.max("piece").alias("last"), F.sum("n_tokens").alias("n"), F.max(F.col("from_token") + F.col("n_tokens")).alias("end"), F.max("loss_tokens").alias("loss")
+    )
+    split = F.col("pieces") > 1
+    items = whole.agg(
+        F.count(F.lit(1)).alias("items"), count((F.col("pieces") != F.col("last") + 1) | (F.col("n") != F.col("end"))).alias("torn"),
+        count(split & (F.col("n") <= capacity)).alias("needless"), count(split & (F.col("loss") > loss_limit)).alias("over_loss"),
+    )
+    used = a.where("container is not null").groupBy("container").agg(
+        F.sum("n_tokens").alias("n"), F.sum("loss_tokens").alias("loss"), F.count(F.lit(1)).alias("k"), F.max(F.col("place") + F.col("n_tokens")).alias("end")
+    )
+    bad = used.agg(
+        count(F.col("n") > capacity).alias("over_capacity"), count(F.col("k") > segments).alias("over_segments"),
+        count((F.col("loss") > loss_limit) & (F.col("k") > 1)).alias("over_loss"), count(F.col("n") != F.col("end")).alias("misplaced"),
+    )
+    names = ["items", "torn", "needless", "over_capacity", "over_segments", "over_loss", "misplaced"]
+    return items.unionByName(bad, allowMissingColumns=True).agg(*[F.sum(c).alias(c) for c in names])

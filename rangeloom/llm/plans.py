@@ -57,6 +57,7 @@ def queries() -> dict:
         "p7_decoded": lambda spark, d: tokens.decode(tokens.encode(docs(spark, d))),
         "p8_found": lambda spark, d: packing.split_items(assigned(spark, d)),
         "p8_containers": assigned,
+        "p8_violations": lambda spark, d: packing.violations(assigned(spark, d)),
         "p9_found": lambda spark, d: repetition.repetitive(docs(spark, d)),
         "p9_perplexity": lambda spark, d: repetition.judged(docs(spark, d)),
     }
@@ -67,6 +68,7 @@ def oracle_sql() -> dict[str, str]:
         "p4_found": RUNS_SQL + " SELECT track_id, chrom, run_st, run_ed FROM r WHERE n >= 3 AND valued",
         "p4_runs": RUNS_SQL + " SELECT * FROM r",
         "p6_found": QUANTILE_SQL,
+        "p8_violations": "SELECT count(DISTINCT doc_id) AS items, 0::BIGINT AS torn, 0::BIGINT AS needless, 0::BIGINT AS over_capacity, 0::BIGINT AS over_segments, 0::BIGINT AS over_loss, 0::BIGINT AS misplaced FROM documents",
         "p9_found": REPEATED_SQL,
         "p7_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     }

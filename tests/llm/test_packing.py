@@ -32,8 +32,12 @@ def test_fill(spark):
     filled = out[out.container.notna()]
     by = filled.groupby("container")
     assert by.n_tokens.sum().max() <= 8192 and by.size().max() <= packing.SEGMENTS
-    # no limit on loss but for items that exceed it alone
-    assert (by.loss_tokens.sum() <= packing.LOSS_LIMIT)[by.size() > 1].all()
+    # only items that fit the capacity whole may exceed the limit on loss, each alone
+    over = filled[filled.container.isin(by.loss_tokens.sum()[lambda x: x > packing.LOSS_LIMIT].index)]
+    whole = {k for k, n, loss in sizes + odd if n and n <= 8192 and (loss or 0) > packing.LOSS_LIMIT}
+    assert len(over) == over.container.nunique() and set(over.doc_id) == whole and (over.piece == 0).all()
+    bad = packing.violations(packing.fill(df.where("doc_id <> 5007"), pool=1000)).head().asDict()
+    assert bad.pop("items") == len({k for k, _, _ in sizes + odd} - {None, 5007}) and not any(bad.values())
     assert filled.n_tokens.sum() / 8192 / filled.container.nunique() > 0.95
     total = {}
     for k, n, _ in sizes + odd:
@@ -52,6 +56,27 @@ def test_fill(spark):
     assert packing.fill(df.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("capacity,limit", [(10, 7), (10, 10), (10, 1), (8192, 7168)])
+def test_cut(capacity, limit):
+    rng = np.random.default_rng(capacity)
+    n = rng.integers(1, 8 * capacity, 3000)
+    loss = (n * rng.choice([0, 0.3, 0.9, 1], 3000)).astype(np.int64)
+    item, begin, size = packing.cut(n, loss, capacity, limit)
+    for i in range(3000):
+        b, s = begin[item == i], size[item == i]
+        assert list(b) == [0, *np.cumsum(s)[:-1]] and s.sum() == n[i] and s.min() > 0 and s.max() <= capacity
+        assert (len(b) > 1) == (n[i] > capacity)
+        if len(b) > 1:
+            assert (np.clip(b + s - np.maximum(b, n[i] - loss[i]), 0, s) <= limit).all()
+
+
+def test_violations_are_seen(spark):
+    a = [(1, 0, 0, 9000, 0, 5, 0, 0), (2, 0, 0, 4000, 4000, 6, 0, 0), (3, 0, 0, 4000, 4000, 6, 1, 4001), (4, 0, 0, 10, 0, 7, 0, 0), (4, 1, 11, 10, 0, 8, 0, 0), (5, 0, 0, 0, 0, None, None, None)]
+    a += [(100 + i, 0, 0, 1, 1, 9, i, i) for i in range(65)]
+    df = spark.createDataFrame(a, "doc_id long, piece long, from_token long, n_tokens long, loss_tokens long, container long, segment long, place long")
+    assert packing.violations(df).head().asDict() == {"items": 70, "torn": 1, "needless": 1, "over_capacity": 1, "over_segments": 1, "over_loss": 1, "misplaced": 1}
+
+
 def test_items_that_fit_nothing(spark):
     # each takes a container of its own, by length or by loss: pools must not fill up with them
     df = spark.range(6000).selectExpr("id as doc_id", "cast(5000 + id % 3 as bigint) as n_tokens", "cast(0 as bigint) as loss_tokens")
