@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .sharding import floor_div, neighbour, shard_of
+from .sharding import floor_div, neighbour, shard_of, spread
 
 #: Cells of a shard, and of a piece of an empty stretch.
 CELLS = 1 << 12
@@ -27,7 +27,7 @@ def cells(df: DataFrame, steps: DataFrame, source: str = "track_id", series: str
     good = good.select(F.col(source).alias("_s"), F.col(series).alias("_c"), F.col(st).alias("_a"), F.col(ed).alias("_b"), F.col(val).alias("_v"))
     good = good.join(grid, F.col("_s") == F.col("_src"))
     w = F.col("_w")
-    each = good.withColumn("cell", F.explode(F.sequence(floor_div(F.col("_a"), w), floor_div(F.col("_b") - 1, w))))
+    each = spread(good, floor_div(F.col("_a"), w), floor_div(F.col("_b") - 1, w), "cell", CELLS)
     over = F.least(F.col("_b"), (F.col("cell") + 1) * w) - F.greatest("_a", F.col("cell") * w)
     v = F.col("_v").cast("decimal(24,6)")
     out = each.withColumn("_o", over).groupBy("_s", "_c", "_w", "cell").agg(F.sum(v * F.col("_o").cast("decimal(12,0)")).alias("_t"), F.sum("_o").alias("_n"))
@@ -46,9 +46,7 @@ def _between(s: DataFrame, source: str, series: str, step: str, *keep) -> DataFr
     """Rows ``(source, series, step, cell, keep...)`` of the cells strictly between ``before.cell`` and ``cell``."""
     lo, hi = F.col("before.cell") + 1, F.col("cell") - 1
     gaps = s.where(F.col("before").isNotNull() & (lo <= hi)).select(source, series, step, *keep, lo.alias("_lo"), hi.alias("_hi"))
-    parts = gaps.withColumn("_p", F.explode(F.sequence(shard_of(F.col("_lo"), CELLS), shard_of(F.col("_hi"), CELLS))))
-    parts = parts.withColumns({"_lo": F.greatest("_lo", F.col("_p") * CELLS), "_hi": F.least("_hi", F.col("_p") * CELLS + (CELLS - 1))})
-    return parts.withColumn("cell", F.explode(F.sequence("_lo", "_hi"))).drop("_p", "_lo", "_hi")
+    return spread(gaps, F.col("_lo"), F.col("_hi"), "cell", CELLS).drop("_lo", "_hi")
 
 
 def missing_cells(df: DataFrame, steps: DataFrame, source: str = "track_id", series: str = "chrom", st: str = "st", ed: str = "ed", val: str = "val", step: str = "step") -> DataFrame:

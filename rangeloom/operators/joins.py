@@ -25,23 +25,22 @@ def _level(st: str, ed: str, width: int) -> Column:
     return out.cast("int")
 
 
-def _levels(df: DataFrame, st: str, ed: str, width: int) -> list[int]:
-    """The levels that occur: a handful of numbers."""
-    return sorted(r[0] for r in df.where(F.col(st) < F.col(ed)).select(_level(st, ed, width).alias("l")).distinct().collect())
+def _levels(df: DataFrame, st: str, ed: str, width: int) -> Column:
+    """The levels that occur, a handful of numbers, as a scalar subquery: nothing runs before the join does."""
+    return df.where(F.col(st) < F.col(ed)).agg(F.collect_set(_level(st, ed, width))).scalar()
 
 
-def _binned(df: DataFrame, st: str, ed: str, width: int, side: str, others: list[int]) -> DataFrame:
+def _binned(df: DataFrame, st: str, ed: str, width: int, side: str, others: Column) -> DataFrame:
     """Rows by level and bin: at the row's own level (``home``), and at the coarser levels of the other side."""
     cols = [F.col(c).alias(f"_{side}_{c}") for c in df.columns]
     good = df.where(F.col(st) < F.col(ed)).select(*cols, _level(st, ed, width).alias("_own"))
     st, ed = f"_{side}_{st}", f"_{side}_{ed}"
-    rest = F.array(*[F.lit(x) for x in others]).cast("array<int>")
-    level = F.explode(F.concat(F.array("_own"), F.filter(rest, lambda x: x > F.col("_own")))).alias("_level")
+    level = F.explode(F.array_union(F.array("_own"), others)).alias("_level")
     base = width.bit_length() - 1
     by = F.lit(base) + F.col("_level") * STEP
     at = lambda c: F.call_function("shiftright", c, by)
     names = [f"_{side}_{c}" for c in df.columns]
-    leveled = good.select(*names, "_own", level)
+    leveled = good.select(*names, "_own", level).where("_level >= _own")
     return leveled.select(*names, F.col("_level").alias(f"_{side}level"), (F.col("_level") == F.col("_own")).alias(f"_{side}home"), F.explode(F.sequence(at(F.col(st)), at(F.col(ed) - 1))).alias(f"_{side}bin"))
 
 

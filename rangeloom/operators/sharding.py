@@ -25,6 +25,18 @@ def shard_of(pos: Column, width: int) -> Column:
     return F.shiftright(pos, width.bit_length() - 1) if width & (width - 1) == 0 else floor_div(pos, width)
 
 
+def spread(df: DataFrame, lo: Column, hi: Column, name: str, width: int = 1 << 16) -> DataFrame:
+    """``df`` with a row for each whole number ``name`` from ``lo`` to ``hi``, none if ``lo > hi`` or one is null.
+
+    In two steps, by shards of ``width`` numbers and then by number, so that no row ever holds more than ``width`` numbers (or
+    shards) however far ``lo`` and ``hi`` lie apart, up to ``width`` squared.
+    """
+    part, cols = f"_part_{name}", df.columns
+    s = df.where(lo <= hi).withColumn(part, F.explode(F.sequence(shard_of(lo, width), shard_of(hi, width))))
+    first = F.col(part) * F.lit(width)
+    return s.select(*[F.col(c) for c in cols if c != name], F.explode(F.sequence(F.greatest(lo, first), F.least(hi, first + F.lit(width - 1)))).alias(name))
+
+
 def packed(df: DataFrame, keys: Sequence[str], *rest: str | Column) -> DataFrame:
     """``_k`` (a struct of ``keys``) and ``rest``. Structs are equal where their fields are, nulls included, so that a
     plain equality join on ``_k`` keeps keys with nulls together and can use the partitioning of a window over ``_k``."""

@@ -5,11 +5,11 @@ Values count in whole units of ``1 / SCALE`` wherever they are summed, so sums d
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .joins import asof_join, overlap_join
-from .sharding import join_on, neighbour, running, scan, shard_of
+from .sharding import join_on, neighbour, running, scan, shard_of, spread
 
 SCALE = 1000
 SHARD = 1 << 16
@@ -37,14 +37,36 @@ def composite(rows: DataFrame, key: str = "chrom", source: str = "track_id", st:
 
 
 def cumulated(signal: DataFrame) -> DataFrame:
-    """The signal with ``idx`` (position in its chrom), ``next_st`` (start of the next interval), and before each interval
+    """The signal (a table that has these columns already, as a stored track, comes back as it is) with ``idx`` (position in its chrom), ``next_st`` (start of the next interval), and before each interval
     ``cov0``, ``sum0``, ``sqr0``: covered bases, sum of values and of squares over bases, in units."""
+    if {"idx", "u", "cov0", "sum0", "sqr0", "next_st"} <= set(signal.columns):
+        return signal
     u, n = units(F.col("val")), F.col("ed") - F.col("st")
     s = signal.withColumns({"_s": shard_of(F.col("st"), SHARD), "u": u})
     sums = {"idx": F.lit(1).cast("bigint"), "cov0": n, "sum0": F.col("u") * n, "sqr0": F.col("u").cast("decimal(19,0)") * F.col("u").cast("decimal(19,0)") * n.cast("decimal(19,0)")}
     return scan(s, KEYS, "_s", ["st"], sums, inclusive=False, after=("_next", ["st"])).withColumn("next_st", F.col("_next.st")).drop("_s", "_next")
 
 
+def _d(c: Column) -> Column:
+    return c.cast("decimal(19,0)")
+
+
+def _prefixes(signal: DataFrame, points: DataFrame, pos: str, *wanted: str) -> DataFrame:
+    """``points`` with what lies before each position: of ``started`` (intervals that start at or before), ``cov``, ``sum``, ``sqr`` (bases,
+    and sums over bases in units), ``value`` (null if uncovered) those ``wanted``, as ``_started`` and so on. One as-of join."""
+    need = {"started": ["idx"], "cov": ["ed", "cov0"], "sum": ["ed", "u", "sum0"], "sqr": ["ed", "u", "sqr0"], "value": ["ed", "val"]}
+    cols = list(dict.fromkeys(["chrom", "st", *[c for w in wanted for c in need[w]]]))
+    p = asof_join(points, cumulated(signal).select(*cols), KEYS, pos, "st", "_hit")
+    h = lambda f: F.col(f"_hit.{f}")
+    part = F.least(h("ed"), F.col(pos)) - h("st")
+    zero = F.lit(0).cast("bigint")
+    is_ = {
+        "started": lambda: F.coalesce(h("idx") + 1, zero), "cov": lambda: F.coalesce(h("cov0") + part, zero), "sum": lambda: F.coalesce(h("sum0") + h("u") * part, zero),
+        "sqr": lambda: F.coalesce(h("sqr0") + _d(h("u")) * _d(h("u")) * _d(part), F.lit(0)).cast("decimal(38,0)"), "value": lambda: F.when(F.col(pos) < h("ed"), h("val")),
+    }
+    return p.select(*points.columns, *[is_[w]().alias(f"_{w}") for w in wanted])
+
+
 def at_positions(signal: DataFrame, points: DataFrame, pos: str = "pos") -> DataFrame:
     """Each point with what the signal says about it; ``points`` has ``chrom`` and ``pos``.
 
@@ -61,7 +83,6 @@ def at_positions(signal: DataFrame, points: DataFrame, pos: str = "pos") -> Data
     inside = F.coalesce(x < h("ed"), F.lit(False))
     part = F.least(h("ed"), x) - h("st")
     zero = F.lit(0).cast("bigint")
-    d = lambda c: c.cast("decimal(19,0)")
     return p.select(
         *points.columns,
         F.when(inside, h("val")).otherwise(0.0).alias("value"),
@@ -70,7 +91,7 @@ def at_positions(signal: DataFrame, points: DataFrame, pos: str = "pos") -> Data
         F.when(inside, x - h("st") + 1).otherwise(zero).alias("cover_off"),
         F.coalesce(h("cov0") + part, zero).alias("coverage"),
         (F.coalesce(h("sum0") + h("u") * part, zero) / F.lit(float(SCALE))).alias("prefix_sum"),
-        (F.coalesce(h("sqr0") + d(h("u")) * d(h("u")) * d(part), F.lit(0)).cast("double") / F.lit(float(SCALE * SCALE))).alias("prefix_sqr"),
+        (F.coalesce(h("sqr0") + _d(h("u")) * _d(h("u")) * _d(part), F.lit(0)).cast("double") / F.lit(float(SCALE * SCALE))).alias("prefix_sqr"),
         F.coalesce(h("idx") + 1, zero).alias("started"),
         F.when(inside, x).otherwise(F.coalesce(F.when(h("st").isNull(), F.col("_first")).otherwise(h("next_st")), F.lit(-1))).cast("bigint").alias("next"),
         F.when(inside, x).otherwise(F.coalesce(h("ed") - 1, F.lit(-1))).cast("bigint").alias("prev"),
@@ -94,31 +115,55 @@ def pieces(signal: DataFrame, regions: DataFrame) -> DataFrame:
     return both.select(*regions.columns, F.greatest("st", "i_st").alias("a"), F.least("ed", "i_ed").alias("b"), F.col("i_val").alias("v"), units(F.col("i_val")).alias("u"), "i_st", "i_ed")
 
 
-def _partials() -> list[Column]:
-    n = F.col("b") - F.col("a")
-    d = lambda c: c.cast("decimal(19,0)")
-    return [F.sum(F.col("u") * n).alias("_s"), F.sum(d(F.col("u")) * d(F.col("u")) * d(n)).alias("_q"), F.sum(n).alias("_c"), F.min("v").alias("_lo"), F.max("v").alias("_hi")]
+#: What each measure is made of.
+PARTS = {
+    "sum": ("sum",), "sqrsum": ("sqr",), "cov": ("cov",), "avg": ("sum", "cov"), "stdev": ("sum", "sqr", "cov"), "cov_frac": ("cov",), "started": ("started",),
+    "min": ("value",), "max": ("value",), "min_or_null": ("value",), "max_or_null": ("value",),
+}
+_SUMS = {"started": "bigint", "cov": "bigint", "sum": "bigint", "sqr": "decimal(38,0)"}
 
 
-def _measures() -> dict[str, Column]:
-    s = F.coalesce(F.col("_s"), F.lit(0)) / F.lit(float(SCALE))
-    q = F.coalesce(F.col("_q"), F.lit(0)).cast("double") / F.lit(float(SCALE * SCALE))
-    c = F.coalesce(F.col("_c"), F.lit(0)).cast("bigint")
-    return {
+def _measures(wanted: list[str]) -> dict[str, Column]:
+    s = F.coalesce(F.col("_sum"), F.lit(0)) / F.lit(float(SCALE))
+    q = F.coalesce(F.col("_sqr"), F.lit(0)).cast("double") / F.lit(float(SCALE * SCALE))
+    c = F.coalesce(F.col("_cov"), F.lit(0)).cast("bigint")
+    all_ = {
         "sum": s, "sqrsum": q, "cov": c, "avg": F.when(c > 0, s / c), "stdev": F.when(c > 0, F.sqrt(F.greatest(F.lit(0.0), (q - s * s / c) / c))),
-        "min": F.coalesce("_lo", F.lit(0.0)), "max": F.coalesce("_hi", F.lit(0.0)), "min_or_null": F.col("_lo"), "max_or_null": F.col("_hi"),
+        "min": F.coalesce("_lo", F.lit(0.0)), "max": F.coalesce("_hi", F.lit(0.0)), "min_or_null": F.col("_lo"), "max_or_null": F.col("_hi"), "started": F.coalesce("_started", F.lit(0)).cast("bigint"),
     }
+    return {w: all_[w] for w in wanted if w in all_}
 
 
-def region_summary(signal: DataFrame, regions: DataFrame) -> DataFrame:
-    """Per valid region ``sum, sqrsum, cov, avg, stdev, min, max, min_or_null, max_or_null`` over its bases.
+def _wanted(measures, known: list[str]) -> tuple[list[str], list[str], bool]:
+    """The measures asked for (all of ``known`` by default), the running sums they need, and whether extremes are needed."""
+    wanted = list(known if measures is None else measures)
+    if bad := set(wanted) - set(known):
+        raise ValueError(f"unknown measures {sorted(bad)}; there are {known}")
+    need = {x for w in wanted for x in PARTS[w]}
+    return wanted, [x for x in _SUMS if x in need], "value" in need
+
+
+REGION_MEASURES = ["sum", "sqrsum", "cov", "avg", "stdev", "min", "max", "min_or_null", "max_or_null"]
+WINDOW_MEASURES = ["sum", "avg", "cov", "min", "max", "min_or_null", "max_or_null", "stdev", "cov_frac", "started"]
+
+
+def region_summary(signal: DataFrame, regions: DataFrame, measures: list[str] | None = None) -> DataFrame:
+    """Per valid region ``sum, sqrsum, cov, avg, stdev, min, max, min_or_null, max_or_null`` (or the ``measures`` named) over its bases.
 
     ``avg`` and ``stdev`` (population, per base) are null without covered bases, ``min`` and ``max`` then 0. Regions of
-    unknown chroms have nothing covered. Region ids are unique.
+    unknown chroms have nothing covered. Region ids are unique. Sums are differences of running sums at the two ends, so
+    they cost the same for every length; only extremes read the intervals within.
     """
-    agg = pieces(signal, regions).groupBy("region_id").agg(*_partials())
-    out = join_on(valid_regions(regions), agg, ["region_id"])
-    return out.select("region_id", *[e.alias(n) for n, e in _measures().items()])
+    wanted, sums, extremes = _wanted(measures, REGION_MEASURES)
+    good = valid_regions(regions)
+    out = good.select("region_id")
+    if sums:
+        ends = F.explode(F.array(F.struct(F.col("st").alias("p"), F.lit(-1).alias("d")), F.struct(F.col("ed").alias("p"), F.lit(1).alias("d")))).alias("_e")
+        at = _prefixes(signal, good.select("region_id", "chrom", ends).select("region_id", "chrom", "_e.p", "_e.d"), "p", *sums)
+        out = join_on(out, at.groupBy("region_id").agg(*[F.sum(F.col("d") * F.col(f"_{c}")).alias(f"_{c}") for c in sums]), ["region_id"])
+    if extremes:
+        out = join_on(out, pieces(signal, regions).groupBy("region_id").agg(F.min("v").alias("_lo"), F.max("v").alias("_hi")), ["region_id"])
+    return out.select("region_id", *[e.alias(n) for n, e in _measures(wanted).items()])
 
 
 def edge(i: Column) -> Column:
@@ -144,56 +189,48 @@ def windowed(regions: DataFrame) -> DataFrame:
 
 def bin_edges(regions: DataFrame) -> DataFrame:
     """``(region_id, bin, bin_st, bin_ed)`` of regions with more bases than windows."""
-    r = windowed(regions).where("ed - st > n").withColumn("bin", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)))
+    r = spread(windowed(regions).where("ed - st > n"), F.lit(0).cast("bigint"), F.col("n") - 1, "bin")
     return r.select("region_id", "bin", edge(F.col("bin")).alias("bin_st"), edge(F.col("bin") + 1).alias("bin_ed"))
 
 
-def upsample_slots(regions: DataFrame) -> DataFrame:
-    """``(region_id, bin, base)`` of regions with at most as many bases as windows: the base that each window repeats."""
-    r = windowed(regions).where("ed - st <= n").withColumn("bin", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)))
+def upsample_slots(regions: DataFrame, *keep: str) -> DataFrame:
+    """``(region_id, keep..., bin, base)`` of regions with at most as many bases as windows: the base that each window repeats."""
+    r = spread(windowed(regions).where("ed - st <= n"), F.lit(0).cast("bigint"), F.col("n") - 1, "bin")
     w = F.col("ed") - F.col("st")
-    return r.select("region_id", "bin", (F.col("st") + _div(w * (2 * F.col("bin") + 1) - 1, 2 * F.col("n"))).alias("base"))
+    return r.select("region_id", *keep, "bin", (F.col("st") + _div(w * (2 * F.col("bin") + 1) - 1, 2 * F.col("n"))).alias("base"))
 
 
-def window_summary(signal: DataFrame, regions: DataFrame) -> DataFrame:
-    """Per window of each region ``(region_id, bin, sum, avg, cov, cov_frac, started, min, max, min_or_null, max_or_null, stdev)``.
+def window_summary(signal: DataFrame, regions: DataFrame, measures: list[str] | None = None) -> DataFrame:
+    """Per window of each region ``(region_id, bin, sum, avg, cov, min, max, min_or_null, max_or_null, stdev, cov_frac, started)``, or the
+    ``measures`` named.
 
-    Each overlapping pair is split at the windows' edges and summed by window; windows without signal come from a row of
-    nothing per window that is summed along, so no second join is needed. ``started`` counts intervals whose start lies in
-    ``(bin_st, bin_ed]``. Regions with no more bases than windows repeat each base's value: ``sum``, ``avg``, ``min`` and ``max``
-    are then the base's value or null, ``cov`` and ``started`` 1 or 0, ``stdev`` 0.
+    Running sums are looked up at every edge of a window, by one as-of join, and each window is the difference of its two
+    edges. Only extremes read the intervals: each overlapping pair is split at the windows' edges. ``started`` counts intervals
+    whose start lies in ``(bin_st, bin_ed]``. Regions with no more bases than windows repeat each base's value: ``sum``, ``avg``,
+    ``min`` and ``max`` are then the base's value or null, ``cov`` and ``started`` 1 or 0, ``stdev`` 0. Region ids are unique.
     """
-    r = windowed(regions)
+    wanted, sums, extremes = _wanted(measures, WINDOW_MEASURES)
+    r = windowed(regions).select("region_id", "chrom", "st", "ed", "n")
     wide = r.where("ed - st > n")
-    keys = ["region_id", "chrom", "st", "ed", "n", "bin"]
-    nothing = {c: F.lit(None).cast(t).alias(c) for c, t in (("_s", "bigint"), ("_q", "decimal(38,0)"), ("_c", "bigint"), ("_lo", "double"), ("_hi", "double"), ("_k", "bigint"))}
-    # long regions first widen to runs of windows under one interval, then to windows
-    cut = pieces(signal, wide).withColumn("bin", F.explode(F.sequence(window_of(F.col("a")), window_of(F.col("b") - 1))))
-    cut = cut.withColumns({"a": F.greatest("a", edge(F.col("bin"))), "b": F.least("b", edge(F.col("bin") + 1))})
-    n = F.col("b") - F.col("a")
-    d = lambda c: c.cast("decimal(12,0)")
-    cut = cut.select(*keys, (F.col("u") * n).alias("_s"), (d(F.col("u")) * d(F.col("u")) * d(n)).cast("decimal(38,0)").alias("_q"), n.alias("_c"), F.col("v").alias("_lo"), F.col("v").alias("_hi"), nothing["_k"])
-    starts = signal.select("chrom", (F.col("st") - 1).alias("st"), F.col("st").alias("ed"))
-    begun = overlap_join(wide, starts, prefix="i_").withColumn("bin", window_of(F.col("i_st")))
-    begun = begun.select(*keys, *[nothing[c] for c in ("_s", "_q", "_c", "_lo", "_hi")], F.lit(1).cast("bigint").alias("_k"))
-    all_ = wide.withColumn("bin", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1))).select(*keys, *nothing.values())
-    agg = all_.unionByName(cut).unionByName(begun).groupBy(*keys).agg(F.sum("_s").alias("_s"), F.sum("_q").alias("_q"), F.sum("_c").alias("_c"), F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"), F.sum("_k").alias("_k"))
-    m = _measures()
-    size = edge(F.col("bin") + 1) - edge(F.col("bin"))
-    names = ("sum", "avg", "cov", "min", "max", "min_or_null", "max_or_null", "stdev")
-    out = agg.select("region_id", "bin", *[m[x].alias(x) for x in names], (m["cov"] / size).alias("cov_frac"), F.coalesce("_k", F.lit(0)).cast("bigint").alias("started"))
-
-    narrow = r.where("ed - st <= n")
-    slots = narrow.withColumn("bin", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)))
-    slots = slots.withColumn("base", F.col("st") + _div((F.col("ed") - F.col("st")) * (2 * F.col("bin") + 1) - 1, 2 * F.col("n")))
-    base = pieces(signal, narrow).withColumn("base", F.explode(F.sequence(F.col("a"), F.col("b") - 1))).select("region_id", "base", "v")
-    up = join_on(slots.select("region_id", "bin", "base"), base, ["region_id", "base"])
-    one = F.when(F.col("v").isNotNull(), F.lit(1)).otherwise(0).cast("bigint")
-    up = up.select(
-        "region_id", "bin", *[F.col("v").alias(x) for x in ("sum", "avg")], one.alias("cov"), *[F.col("v").alias(x) for x in ("min", "max", "min_or_null", "max_or_null")],
-        F.lit(0.0).alias("stdev"), one.cast("double").alias("cov_frac"), one.alias("started"),
-    )
-    return out.unionByName(up)
+    zero = F.lit(0).cast("bigint")
+    edges = spread(wide, zero, F.col("n"), "bin").select("region_id", "chrom", "bin", edge(F.col("bin")).alias("p"), (F.col("bin") < F.col("n")).alias("_in"), F.lit(False).alias("_one"))
+    slots = upsample_slots(regions.select("region_id", "chrom", "st", "ed", "n"), "chrom").select("region_id", "chrom", "bin", F.col("base").alias("p"), F.lit(True).alias("_in"), F.lit(True).alias("_one"))
+    at = _prefixes(signal, edges.unionByName(slots), "p", *sums, "value")
+    # an edge ends a window and begins the next; the difference adds up by window
+    both = F.explode(F.array(F.struct(F.lit(0).alias("b"), F.lit(-1).alias("d")), F.struct(F.lit(-1).alias("b"), F.lit(1).alias("d")))).alias("_w")
+    cut = at.where("not _one").select("*", both).where("case when _w.b = 0 then _in else bin > 0 end")
+    size = F.col("_w.d") * F.col("p")
+    cut = cut.select("region_id", (F.col("bin") + F.col("_w.b")).alias("bin"), size.alias("_size"), *[(F.col("_w.d") * F.col(f"_{c}")).cast(_SUMS[c]).alias(f"_{c}") for c in sums])
+    if extremes:
+        within = spread(pieces(signal, wide), window_of(F.col("a")), window_of(F.col("b") - 1), "bin").select("region_id", "bin", F.col("v").alias("_lo"), F.col("v").alias("_hi"))
+        cut = cut.unionByName(within, allowMissingColumns=True)
+    agg = cut.groupBy("region_id", "bin").agg(F.sum("_size").alias("_size"), *[F.sum(f"_{c}").alias(f"_{c}") for c in sums], *([F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi")] if extremes else []))
+    m = _measures(wanted) | ({"cov_frac": F.coalesce("_cov", zero) / F.col("_size")} if "cov_frac" in wanted else {})
+    out = agg.select("region_id", "bin", *[m[x].alias(x) for x in wanted])
+    v = F.col("_value")
+    one = F.when(v.isNotNull(), F.lit(1)).otherwise(0).cast("bigint")
+    repeat = {"cov": one, "started": one, "cov_frac": one.cast("double"), "stdev": F.lit(0.0)}
+    return out.unionByName(at.where("_one").select("region_id", "bin", *[repeat.get(x, v).alias(x) for x in wanted]))
 
 
 def listed(signal: DataFrame, regions: DataFrame) -> DataFrame:
@@ -203,16 +240,20 @@ def listed(signal: DataFrame, regions: DataFrame) -> DataFrame:
 
 def base_values(signal: DataFrame, regions: DataFrame) -> DataFrame:
     """``(region_id, pos, val)`` of every base of each valid region, ``val`` null where it is uncovered."""
-    r = valid_regions(regions).withColumn("pos", F.explode(F.sequence(F.col("st"), F.col("ed") - 1))).select("region_id", "pos", F.lit(None).cast("double").alias("v"))
-    got = pieces(signal, regions).select("region_id", F.explode(F.sequence(F.col("a"), F.col("b") - 1)).alias("pos"), "v")
+    r = spread(valid_regions(regions), F.col("st"), F.col("ed") - 1, "pos").select("region_id", "pos", F.lit(None).cast("double").alias("v"))
+    got = spread(pieces(signal, regions), F.col("a"), F.col("b") - 1, "pos").select("region_id", "pos", "v")
     return r.unionByName(got).groupBy("region_id", "pos").agg(F.max("v").alias("val"))
 
 
 def found_ranges(signal: DataFrame, regions: DataFrame) -> DataFrame:
-    """``(region_id, first, last)``: numbers of the first and one past the last interval that meets the region; equal, and null, if none does."""
-    c = cumulated(signal).select("chrom", "st", "ed", "idx")
-    hit = overlap_join(valid_regions(regions), c, prefix="i_").groupBy("region_id").agg(F.min("i_idx").alias("first"), (F.max("i_idx") + 1).alias("last"))
-    return join_on(valid_regions(regions).select("region_id"), hit, ["region_id"])
+    """``(region_id, first, last)``: numbers of the first and one past the last interval that meets the region; null if none does."""
+    good = valid_regions(regions)
+    ends = F.explode(F.array(F.struct(F.col("st").alias("p"), F.lit(0).alias("w")), F.struct((F.col("ed") - 1).alias("p"), F.lit(1).alias("w")))).alias("_e")
+    at = _prefixes(signal, good.select("region_id", "chrom", ends).select("region_id", "chrom", "_e.p", "_e.w"), "p", "started", "value")
+    first = F.max(F.when(F.col("w") == 0, F.col("_started") - F.col("_value").isNotNull().cast("int")))
+    hit = at.groupBy("region_id").agg(first.alias("first"), F.max(F.when(F.col("w") == 1, F.col("_started"))).alias("last"))
+    some = F.col("first") < F.col("last")
+    return join_on(good.select("region_id"), hit, ["region_id"]).select("region_id", F.when(some, F.col("first")).cast("bigint").alias("first"), F.when(some, F.col("last")).cast("bigint").alias("last"))
 
 
 def covered_at_length(signal: DataFrame, points: DataFrame, length: str = "pos") -> DataFrame:
@@ -258,7 +299,7 @@ def gap_lengths(signal: DataFrame) -> DataFrame:
 
 def dense(signal: DataFrame, pos: str = "pos", val: str = "v") -> DataFrame:
     """``(chrom, pos, v)`` of every covered base."""
-    return signal.select("chrom", F.explode(F.sequence(F.col("st"), F.col("ed") - 1)).alias(pos), F.col("val").alias(val))
+    return spread(signal.select("chrom", "st", "ed", "val"), F.col("st"), F.col("ed") - 1, "_p").select("chrom", F.col("_p").alias(pos), F.col("val").alias(val))
 
 
 def runs_of(bases: DataFrame) -> DataFrame:
@@ -305,12 +346,14 @@ def depth(rows: DataFrame, keys: tuple[str, ...] = ("track_id", "chrom")) -> Dat
 def quantised(signal: DataFrame, digits: int = 3) -> DataFrame:
     """Values as whole numbers and back: ``(chrom, st, code, rank, back)``; ``code`` is ``val * 10^digits`` less the chrom's smallest, ``rank`` its place in the chrom's dictionary.
 
-    The dictionary has one row per chrom and distinct code, joined on both.
+    Both follow from shards of values: the distinct values of a shard are numbered in it, and a scan of the shards' counts gives
+    what lies below. The dictionary has one row per chrom and distinct value, joined on both.
     """
     f = 10**digits
-    u = F.round(F.col("val") * f).cast("bigint")
-    s = signal.select("chrom", "st", u.alias("_u"))
+    s = signal.select("chrom", "st", F.round(F.col("val") * f).cast("bigint").alias("_u"))
     low = s.groupBy("chrom").agg(F.min("_u").alias("_low"))
-    ranks = s.select("chrom", "_u").distinct().select("chrom", "_u", (F.row_number().over(Window.partitionBy("chrom").orderBy("_u")) - 1).cast("bigint").alias("rank"))
-    out = join_on(join_on(s, ranks, ["chrom", "_u"]), low, ["chrom"])
+    words = s.groupBy("chrom", "_u").agg(F.lit(1).cast("bigint").alias("_one")).withColumn("_s", shard_of(F.col("_u"), SHARD))
+    ranks = running(words, KEYS, "_s", ["_u"], {"rank": F.col("_one")}, inclusive=False).select("chrom", "_u", F.col("rank").cast("bigint").alias("rank"))
+    ranks = join_on(ranks, low, ["chrom"])  # a row per distinct value and chrom
+    out = join_on(s, ranks, ["chrom", "_u"])
     return out.select("chrom", "st", (F.col("_u") - F.col("_low")).alias("code"), "rank", (F.col("_u") / F.lit(float(f))).alias("back"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import signal as sg
 from ..operators.joins import overlap_join
 from ..operators.sharding import join_on
-from ..tables import table, written
+from ..tables import stored, table, written
 
 SIGNAL = """
 WITH once AS (SELECT track_id, chrom, st, ed, min(CAST(round(val * 1000) AS BIGINT)) u FROM bed_signal
@@ -72,8 +72,13 @@ SELECT {} FROM i GROUP BY chrom, g"""
 
 
 def signal(spark, d):
-    """The signal that the queries of this module ask, built once per query as a stored track."""
-    return written(sg.composite(table(spark, d, "bed_signal")), "track")
+    """The signal that the queries of this module ask: a track in order of place with its running sums, stored once per application."""
+
+    def build():
+        # the sums read the pieces twice, so these are written first
+        return sg.cumulated(written(sg.composite(table(spark, d, "bed_signal")), "pieces")).sortWithinPartitions("chrom", "st")
+
+    return stored(spark, f"{d}/bed_signal.parquet", "track", build)
 
 
 def queries() -> dict:
@@ -110,12 +115,12 @@ def queries() -> dict:
     def alone(f):
         return lambda spark, d: f(signal(spark, d))
 
-    out = {f"region_{m}": both(lambda s, r, m=m: sg.region_summary(s, r).select("region_id", m)) for m in MEASURES}
-    out |= {f"region_{m}_or_null": both(lambda s, r, m=m: sg.region_summary(s, r).select("region_id", f"{m}_or_null")) for m in ("min", "max")}
-    out |= {f"{m}_batch": both(lambda s, r, m=m: sg.window_summary(s, r).select("region_id", "bin", *((m, "cov_frac") if m == "cov" else (m,)))) for m in MEASURES if m != "sqrsum"}
+    out = {f"region_{m}": both(lambda s, r, m=m: sg.region_summary(s, r, [m])) for m in MEASURES}
+    out |= {f"region_{m}_or_null": both(lambda s, r, m=m: sg.region_summary(s, r, [f"{m}_or_null"])) for m in ("min", "max")}
+    out |= {f"{m}_batch": both(lambda s, r, m=m: sg.window_summary(s, r, [m, "cov_frac"] if m == "cov" else [m])) for m in MEASURES if m != "sqrsum"}
     out |= {k: at(c.split(", ")) for k, (c, _) in POINTS.items()}
     return out | {
-        "interval_count_batch": both(lambda s, r: sg.window_summary(s, r).select("region_id", "bin", "started")),
+        "interval_count_batch": both(lambda s, r: sg.window_summary(s, r, ["started"])),
         "bin_edges": lambda spark, d: sg.bin_edges(regions(spark, d)),
         "upsample_slots": lambda spark, d: sg.upsample_slots(regions(spark, d)),
         "region_errors": lambda spark, d: sg.region_errors(asked(spark, d)),

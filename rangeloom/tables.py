@@ -47,6 +47,29 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stored(spark: SparkSession, path: str, name: str, build) -> DataFrame:
+    """The table ``name`` that ``build()`` makes of the files under ``path``: written once per application, read by every later query.
+
+    It is made again if the files change (their names, sizes or times).
+    """
+    context = spark.sparkContext
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = p.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(p, True)
+    state = []
+    while files.hasNext():
+        f = files.next()
+        state.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    known = getattr(context, "_rangeloom_stored", None)
+    if known is None:
+        known = context._rangeloom_stored = {}
+    key = (name, path)
+    if known.get(key, (None,))[0] != sorted(state):
+        df = written(build(), name)
+        known[key] = (sorted(state), df.inputFiles(), df.schema)
+    _, where, schema = known[key]
+    return spark.read.schema(schema).parquet(*where)
+
+
 def ship(spark: SparkSession) -> None:
     """Makes this package importable in Python workers, once per Spark application, wherever they run."""
     import os
