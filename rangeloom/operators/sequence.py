@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..tables import written
-from .joins import asof_join, overlap_join
+from .joins import asof_join
 from .sharding import join_on, neighbour, running, shard_of
 
 SHARD = 1 << 14
@@ -127,26 +127,49 @@ def box_count(points: DataFrame, boxes: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def in_boxes(points: DataFrame, boxes: DataFrame, x: str, y: str) -> DataFrame:
-    """``(qid, x, y)`` of the points in each box ``[x1, x2) x [y1, y2)``, reversed bounds swapped."""
-    b = boxes.select("qid", F.least("x1", "x2").alias("st"), F.greatest("x1", "x2").alias("ed"), F.least("y1", "y2").alias("_y1"), F.greatest("y1", "y2").alias("_y2"))
-    p = points.select(F.col(x).cast("bigint").alias("st"), (F.col(x).cast("bigint") + 1).alias("ed"), F.col(y).cast("bigint").alias("y"))
-    both = overlap_join(b, p, keys=(), prefix="p_", width=1 << 8).where("p_y >= _y1 and p_y < _y2")
-    return both.select("qid", F.col("p_st").alias("x"), F.col("p_y").alias("y"))
+    """``(qid, x, y)`` of the points in each box ``[x1, x2) x [y1, y2)``, reversed bounds swapped.
 
-
-def kth(seq: DataFrame, ranges: DataFrame) -> DataFrame:
+    Boxes and points meet in cells about as wide and high as the box, of which it touches four at most; a point is looked up
+    once in the cells of each shape that the boxes have (widths and heights in powers of four).
+    """
+    size = lambda c: F.expr(f"2 * ((length(bin({c} - 1)) + 1) div 2)").cast("int")
+    b = boxes.select("qid", F.least("x1", "x2").alias("_x1"), F.greatest("x1", "x2").alias("_x2"), F.least("y1", "y2").alias("_y1"), F.greatest("y1", "y2").alias("_y2"))
+    b = b.where("_x1 < _x2 and _y1 < _y2").withColumns({"_lx": size("(_x2 - _x1)"), "_ly": size("(_y2 - _y1)")})
+    shapes = b.agg(F.collect_set(F.struct("_lx", "_ly"))).scalar()
+    cells = lambda lo, hi, by: F.explode(F.expr(f"sequence(shiftright({lo}, {by}), shiftright({hi} - 1, {by}))"))
+    b = b.withColumn("_cx", cells("_x1", "_x2", "_lx")).withColumn("_cy", cells("_y1", "_y2", "_ly"))
+    p = points.select(F.col(x).cast("bigint").alias("x"), F.col(y).cast("bigint").alias("y")).where("x is not null and y is not null").select("x", "y", F.explode(shapes).alias("_l"))
+    p = p.select("x", "y", "_l._lx", "_l._ly").withColumns({"_cx": F.expr("shiftright(x, _lx)"), "_cy": F.expr("shiftright(y, _ly)")})
+    both = join_on(b, p, ["_lx", "_ly", "_cx", "_cy"], "inner").where("x >= _x1 and x < _x2 and y >= _y1 and y < _y2")
+    return both.select("qid", "x", "y")
+
+
+def kth(seq: DataFrame, ranges: DataFrame, bits: int = 4) -> DataFrame:
     """``(qid, value, at)``: the ``k``-th smallest symbol (from 0) at positions ``[b, e)`` and its first position there; null if there are fewer.
 
-    Each range meets its own positions only; the counts of its symbols are summed up to ``k``.
+    Goes down the layers of a wavelet tree, ``bits`` bits of the symbol a round: the symbols with each next digit at positions
+    before both ends are counted by one as-of join, and the range goes on in the digit that holds its ``k``-th. So the cost
+    of a range doesn't depend on its length. Null symbols aren't counted.
     """
-    from pyspark.sql import Window
-
-    p = seq.select(F.col("pos").alias("st"), (F.col("pos") + 1).alias("ed"), "c")
-    r = ranges.select("qid", "k", F.col("b").alias("st"), F.col("e").alias("ed"))
-    each = overlap_join(r, p, keys=(), prefix="p_", width=1 << 8).groupBy("qid", "k", "p_c").agg(F.count(F.lit(1)).alias("n"), F.min("p_st").alias("at"))
-    upto = F.sum("n").over(Window.partitionBy("qid").orderBy("p_c").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    hit = each.withColumn("_u", upto).where((F.col("_u") > F.col("k")) & (F.col("_u") - F.col("n") <= F.col("k")))
-    return join_on(ranges.select("qid"), hit.select("qid", F.col("p_c").alias("value"), "at"), ["qid"])
+    s = seq.select("pos", F.col("c").cast("bigint").alias("c")).where("c is not null")
+    ends = s.agg(F.min("c").alias("lo"), F.max("c").alias("hi")).head()
+    low = int(ends["lo"] or 0)
+    rounds = -(-max(1, (int(ends["hi"] or 0) - low).bit_length()) // bits)
+    s = s.select("pos", (F.col("c") - low).alias("c"), shard_of(F.col("pos"), SHARD).alias("_s"))
+    state = ranges.select("qid", F.col("b").cast("bigint").alias("b"), F.col("e").cast("bigint").alias("e"), F.col("k").cast("bigint").alias("k"), F.lit(0).cast("bigint").alias("p")).where("k >= 0 and b < e")
+    for r in range(rounds - 1, -1, -1):
+        layer = s.withColumn("p", F.shiftright("c", r * bits))
+        upto = running(layer, ["p"], "_s", ["pos"], {"n": F.lit(1).cast("bigint")}).select("p", F.col("pos").alias("at"), "n")
+        asked = state.select("qid", "b", "e", "k", "p", F.explode(F.sequence(F.lit(0), F.lit((1 << bits) - 1))).alias("d"))
+        sides = F.explode(F.array(F.struct((F.col("b") - 1).alias("q"), F.lit(-1).alias("w")), F.struct((F.col("e") - 1).alias("q"), F.lit(1).alias("w")))).alias("_e")
+        asked = asked.select("qid", "b", "e", "k", (F.shiftleft("p", bits) + F.col("d")).alias("p"), sides).select("qid", "b", "e", "k", "p", "_e.q", "_e.w")
+        n = asof_join(asked, upto, ["p"], "q", "at", "_h", width=SHARD).groupBy("qid", "b", "e", "k", "p").agg(F.sum(F.col("w") * F.coalesce("_h.n", F.lit(0))).cast("bigint").alias("n"))
+        all_ = n.groupBy("qid", "b", "e", "k").agg(F.array_sort(F.collect_list(F.struct("p", "n"))).alias("_d"))
+        none = F.lit(-1).cast("bigint")
+        pick = F.aggregate("_d", F.struct(F.col("k").alias("k"), none.alias("p")), lambda a, x: F.when((a.p >= 0) | (x.n == 0), a).when(a.k < x.n, F.struct(a.k.alias("k"), x.p.alias("p"))).otherwise(F.struct((a.k - x.n).alias("k"), none.alias("p"))))
+        state = written(all_.select("qid", "b", "e", pick.alias("_a")).where("_a.p >= 0").select("qid", "b", "e", "_a.k", "_a.p"), "kth")
+    at = asof_join(state.withColumn("_q", F.col("b") - 1), s.select(F.col("c").alias("p"), F.col("pos").alias("at")), ["p"], "_q", "at", "_h", ahead=True, width=SHARD)
+    return join_on(ranges.select("qid"), at.select("qid", (F.col("p") + low).alias("value"), F.col("_h.at").alias("at")), ["qid"])
 
 
 def range_nodes(b: Column, e: Column, levels: int) -> Column:

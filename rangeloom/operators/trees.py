@@ -1,7 +1,7 @@
-"""Trees as adjacency tables ``(id, parent)``: closure, numbering, lowest common ancestors, balanced parentheses, Cartesian trees.
+"""Trees as adjacency tables ``(id, parent)``: numbering, lowest common ancestors, balanced parentheses, Cartesian trees.
 
-A root has a null parent (or is its own). Ancestor tables are made by doubling, in about log2(depth) joins; they have
-one row per node and ancestor, so these operators are for trees of moderate depth, however many nodes they have.
+A root has a null parent (or is its own). Numbers and depths follow from the tour of the tree, which has two rows a node
+whatever its depth; a node with very many children is cut into shards of ids like any hot key.
 """
 
 from __future__ import annotations
@@ -15,9 +15,12 @@ from pyspark.sql import functions as F
 
 from ..tables import written
 from .joins import asof_join
-from .sharding import join_on, neighbour, running, shard_of
+from .sequence import excess, extremes, range_nodes
+from .sharding import join_on, neighbour, running, scan, shard_of
 
 SHARD = 1 << 14
+#: Copies of a row that many rows may ask for.
+SALTS = 32
 
 
 def edges(tree: DataFrame) -> DataFrame:
@@ -38,56 +41,124 @@ def child_at(tree: DataFrame) -> DataFrame:
     return running(e, ["parent"], "_s", ["id"], {"i": F.lit(1).cast("bigint")}, inclusive=False).select("parent", F.col("i").cast("bigint").alias("i"), "id")
 
 
-def closure(tree: DataFrame, most: int = 64) -> DataFrame:
-    """``(id, anc, dist)``: every node with each of its ancestors and itself (distance 0).
+def _tour_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of events and their successors, in groups of ``_b`` sorted by it: for each event the first event of another group that
+    follows it (null if none does), the events to there, and the change of depth from the event to there."""
+
+    def solve(e: np.ndarray, nxt: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
+        order = np.argsort(e)
+        e, nxt, ends = e[order], nxt[order], ends[order]
+        at = np.minimum(np.searchsorted(e, nxt), len(e) - 1)
+        ptr = np.where(~ends & (e[at] == nxt), at, -1)
+        count = np.where(ends, 0, 1)
+        depth = np.where(ends, 0, 1 - 2 * (nxt & 1))
+        target, last = nxt.copy(), ends.copy()
+        for _ in range(len(e).bit_length() + 1):
+            go = np.flatnonzero(ptr >= 0)
+            if not len(go):
+                break
+            to = ptr[go]
+            count[go], depth[go] = count[go] + count[to], depth[go] + depth[to]
+            target[go], last[go], ptr[go] = target[to], last[to], ptr[to]
+        else:
+            raise ValueError("the table has a cycle")
+        return pa.RecordBatch.from_arrays([pa.array(e), pa.array(target, mask=last), pa.array(count), pa.array(depth)], ["e", "target", "count", "depth"])
+
+    held: list[tuple[np.ndarray, ...]] = []
+    group = None
+    for b in batches:
+        g, e, n = (b.column(c) for c in ("_b", "e", "next"))
+        g, ends = g.to_numpy(), n.is_null().to_numpy(zero_copy_only=False)
+        e, n = e.to_numpy(), n.fill_null(0).to_numpy(zero_copy_only=False)
+        for part in np.split(np.arange(len(g)), np.flatnonzero(np.diff(g)) + 1):
+            if len(part):
+                if held and g[part[0]] != group:
+                    yield solve(*(np.concatenate(x) for x in zip(*held)))
+                    held = []
+                group = g[part[0]]
+                held.append((e[part], n[part], ends[part]))
+    if held:
+        yield solve(*(np.concatenate(x) for x in zip(*held)))
 
-    Doubling: paths of up to ``2^k`` steps are put together from paths of up to ``2^(k-1)``; ends when no path grows. A
-    cycle raises ``ValueError`` after ``most`` rounds (paths would never end), that is for a depth of ``2^16`` at the latest.
-    """
-    # hop: the ancestor exactly 2^k steps up; each round a node's paths are its own and those of its hop, 2^k longer
-    paths = tree.select("id", F.col("id").alias("anc"), F.lit(0).cast("bigint").alias("dist")).where("id is not null")
-    hop = edges(tree)
-    step = 1
-    for _ in range(min(most, 17)):
-        hop = written(hop, "hop")
-        if hop.isEmpty():
-            return paths
-        up = hop.select(F.col("id").alias("_i"), F.col("parent").alias("id"))
-        longer = join_on(up, paths, ["id"], "inner").select(F.col("_i").alias("id"), "anc", (F.col("dist") + step).alias("dist"))
-        paths = written(paths.unionByName(longer), "paths")
-        hop = join_on(up, hop, ["id"], "inner").select(F.col("_i").alias("id"), "parent")
-        step *= 2
-    raise ValueError("a path doesn't end: the table has a cycle or is too deep")
 
+def _nodes(tree: DataFrame) -> DataFrame:
+    """``(id, parent)`` of every node once (of repeated ids the smallest parent counts); parents that are no nodes are null."""
+    nodes = tree.where("id is not null").groupBy("id").agg(F.min(F.when(F.col("parent") != F.col("id"), F.col("parent"))).alias("parent"))
+    nodes = written(nodes, "nodes")  # read several times
+    strange = nodes.where("parent is not null").select(F.col("parent").alias("id")).distinct().join(nodes.select("id"), "id", "left_anti")
+    if strange.isEmpty():
+        return nodes
+    hit = join_on(nodes, strange.select(F.col("id").alias("parent"), F.lit(True).alias("_none")), ["parent"])
+    return hit.select("id", F.when(F.col("_none").isNull(), F.col("parent")).alias("parent"))
 
-def depths(tree: DataFrame) -> DataFrame:
-    """``(id, depth)``, roots at 0."""
-    return closure(tree).groupBy("id").agg(F.max("dist").alias("depth"))
+
+def tour(tree: DataFrame, width: int = 1 << 16) -> DataFrame:
+    """The depth-first tour, children and roots in order of id: ``(pos, id, enters, depth, node)``.
+
+    A node is entered and left, ``depth`` counts the nodes entered and not left yet after that, ``node`` is the deepest of them
+    (null if none). Each event's successor follows from its siblings; the list of events is ranked by pointer jumping: within
+    groups of ``width`` ids first, then among the events at which a group is entered, in about log2(their number) rounds. Rows
+    are two a node however deep the tree is. A cycle raises ``ValueError``.
+    """
+    nodes = _nodes(tree)
+    # one scan of the siblings of each parent, before which the parent itself stands
+    kids = nodes.select(F.struct("parent").alias("_p"), "id", F.lit(1).alias("_t"), shard_of(F.col("id"), SHARD).alias("_s"))
+    heads = nodes.select(F.struct(F.col("id").alias("parent")).alias("_p"), "id", F.lit(0).alias("_t"), F.lit(-(2**62)).alias("_s"))
+    s = scan(kids.unionByName(heads), ["_p"], "_s", ["_t", "id"], after=("_after", ["id"]))
+    enter, leave = (lambda c: F.shiftleft(c, 1)), (lambda c: F.shiftleft(c, 1) + 1)
+    into = F.when(F.col("_after").isNotNull(), enter(F.col("_after.id")))
+    e = s.select(
+        F.when(F.col("_t") == 0, enter(F.col("id"))).otherwise(leave(F.col("id"))).alias("e"),
+        F.coalesce(into, F.when(F.col("_t") == 0, leave(F.col("id"))).otherwise(leave(F.col("_p.parent")))).alias("next"), shard_of(F.col("id"), width).alias("_b"),
+    )
+    schema = "e bigint, target bigint, count bigint, depth bigint"
+    near = written(e.repartition("_b").sortWithinPartitions("_b").mapInArrow(_tour_in, schema), "tour")
+    n = near.count()
+    doors = near.where("target is not null").select(F.col("target").alias("e")).distinct()
+    jump = near.join(doors, "e", "left_semi")
+    for k in range(n.bit_length() + 2):
+        jump = written(jump, "jump")
+        if jump.where("target is not null").isEmpty():
+            break
+        to = jump.select(F.col("e").alias("target"), F.col("target").alias("_t"), F.col("count").alias("_c"), F.col("depth").alias("_d"))
+        jump = join_on(jump, to, ["target"]).select("e", F.col("_t").alias("target"), (F.col("count") + F.coalesce("_c", F.lit(0))).alias("count"), (F.col("depth") + F.coalesce("_d", F.lit(0))).alias("depth"))
+    else:
+        raise ValueError("the table has a cycle")
+    rest = jump.select(F.col("e").alias("target"), F.col("count").alias("_c"), F.col("depth").alias("_d"))
+    far = join_on(near, rest, ["target"])
+    after, down = F.col("count") + F.coalesce("_c", F.lit(0)), F.col("depth") + F.coalesce("_d", F.lit(0))
+    far = far.select(F.shiftright("e", 1).alias("id"), (F.col("e") % 2 == 0).alias("enters"), (F.lit(n - 1) - after).alias("pos"), (-down).alias("depth"))
+    return join_on(far, nodes, ["id"]).select("pos", "id", "enters", "depth", F.when(F.col("enters"), F.col("id")).otherwise(F.col("parent")).alias("node"))
 
 
 def dfs(tree: DataFrame) -> DataFrame:
-    """``(id, parent, depth, size, pre, post)``: depth-first numbers, children and roots in order of id.
+    """``(id, parent, depth, size, pre, post)``: depth-first numbers, children and roots in order of id; roots have depth 0.
 
-    A node's number is the number of nodes before it: its ancestors, and the subtrees of the earlier siblings of itself
-    and of its ancestors.
+    Of repeated ids the smallest parent counts; a node whose parent isn't in the table is a root.
     """
-    paths = closure(tree)
-    size = paths.groupBy(F.col("anc").alias("id")).agg(F.count(F.lit(1)).alias("size"))
-    nodes = tree.where("id is not null").select("id", F.when(F.col("parent") != F.col("id"), F.col("parent")).alias("parent"))
-    sib = join_on(nodes, size, ["id"]).withColumns({"_p": F.coalesce(F.col("parent").cast("string"), F.lit("")), "_s": shard_of(F.col("id"), SHARD)})
-    sib = written(running(sib, ["_p"], "_s", ["id"], {"before": F.col("size")}, inclusive=False).select("id", "parent", "size", "before"), "siblings")
-    up = join_on(paths, sib.select(F.col("id").alias("anc"), "before"), ["anc"]).groupBy("id").agg(F.max("dist").alias("depth"), (F.sum("before") + F.max("dist")).cast("bigint").alias("pre"))
-    out = join_on(sib, up, ["id"])
-    return out.select("id", "parent", "depth", "size", "pre", (F.col("pre") + F.col("size") - 1 - F.col("depth")).cast("bigint").alias("post"))
+    t = tour(tree)
+    at = lambda c, enters: F.max(F.when(F.col("enters") == enters, F.col(c)))
+    each = t.groupBy("id").agg(at("node", False).alias("parent"), (at("depth", True) - 1).alias("depth"), at("pos", True).alias("_a"), at("pos", False).alias("_b"))
+    each = each.select("id", "parent", "depth", F.shiftright(F.col("_b") - F.col("_a") + 1, 1).alias("size"), F.shiftright(F.col("_a") + F.col("depth"), 1).alias("pre"))
+    return each.select("*", (F.col("pre") + F.col("size") - 1 - F.col("depth")).alias("post"))
+
+
+def depths(tree: DataFrame) -> DataFrame:
+    """``(id, depth)``, roots at 0."""
+    return tour(tree).where("enters").select("id", (F.col("depth") - 1).alias("depth"))
 
 
 def lca(tree: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``(qid, lca)`` of the nodes ``a`` and ``b`` of each pair: their deepest common ancestor, null if there is none."""
-    c = closure(tree)
-    a = join_on(pairs.select("qid", F.col("a").alias("id")), c, ["id"], "inner").select("qid", "anc", F.col("dist").alias("_d"))
-    b = join_on(pairs.select("qid", F.col("b").alias("id")), c, ["id"], "inner").select("qid", "anc")
-    best = join_on(a, b, ["qid", "anc"], "inner").groupBy("qid").agg(F.min_by("anc", "_d").alias("lca"))
-    return join_on(pairs.select("qid"), best, ["qid"])
+    """``(qid, lca)`` of the nodes ``a`` and ``b`` of each pair: their deepest common ancestor, null if there is none.
+
+    It is the node at the least depth of the tour between the entries of the two. Unknown nodes have none.
+    """
+    t = written(tour(tree), "tour")
+    ends = pairs.select("qid", F.explode(F.array("a", "b")).alias("id"))
+    got = join_on(ends, t.where("enters").select("id", "pos"), ["id"], "inner").groupBy("qid").agg(F.min("pos").alias("b"), (F.max("pos") + 1).alias("e"), F.count(F.lit(1)).alias("n"))
+    low = extremes(t.select("pos", F.col("depth").alias("v")), got.where("n = 2").select("qid", "b", "e")).select("qid", F.col("min_at").alias("pos"))
+    found = join_on(low, t.select("pos", "node"), ["pos"]).select("qid", F.col("node").alias("lca"))
+    return join_on(pairs.select("qid"), found, ["qid"])
 
 
 def parentheses(numbered: DataFrame) -> DataFrame:
@@ -98,8 +169,6 @@ def parentheses(numbered: DataFrame) -> DataFrame:
 
 
 def _levels(bits: DataFrame) -> DataFrame:
-    from .sequence import excess
-
     return excess(bits).withColumn("level", F.col("excess") + F.when(F.col("bit"), 0).otherwise(1))
 
 
@@ -155,30 +224,64 @@ def _smaller_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield solve(*(np.concatenate(x) for x in zip(*held)))
 
 
+def _beyond(open_: DataFrame, nodes: DataFrame, levels: int, ahead: bool) -> DataFrame:
+    """Of rows ``(pos, v, _s)`` the nearest shard before (``ahead``: after) that has a value not above (below) ``v``: ``(pos, v, t)``.
+
+    The shards on that side are a few dyadic nodes; the nearest one whose least value fits is searched down by levels.
+    """
+    fits = (lambda: F.col("m") < F.col("v")) if ahead else (lambda: F.col("m") <= F.col("v"))
+    s = F.col("_s")
+    around = range_nodes(s + 1, F.lit(1 << levels).cast("bigint"), levels) if ahead else range_nodes(F.lit(0).cast("bigint"), s, levels)
+    # a node may be asked for by very many rows: its row is there once per salt
+    salted = nodes.withColumn("_z", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salt = F.pmod("pos", F.lit(SALTS)).cast("int").alias("_z")
+    each = open_.select("pos", "v", salt, F.explode(around).alias("_n")).select("pos", "v", "_z", "_n.l", "_n.i")
+    start = F.call_function("shiftleft", F.col("i"), F.col("l"))
+    hit = join_on(each, salted, ["l", "i", "_z"], "inner").where(fits()).groupBy("pos", "v").agg((F.min_by if ahead else F.max_by)(F.struct("l", "i"), start).alias("_n"))
+    found = hit.select("pos", "v", "_n.l", "_n.i", salt)
+    for level in range(levels, 0, -1):
+        # the child on the near side if it fits, else the other
+        near, far = (2 * F.col("i"), 2 * F.col("i") + 1) if ahead else (2 * F.col("i") + 1, 2 * F.col("i"))
+        here = F.col("l") == level
+        step = found.select("pos", "v", "_z", F.when(here, level - 1).otherwise(F.col("l")).alias("l"), F.when(here, near).alias("_c"), F.when(here, far).otherwise(F.col("i")).alias("i"))
+        child = salted.where(F.col("l") == level - 1).select(F.col("i").alias("_c"), "_z", "m")
+        found = join_on(step, child, ["_c", "_z"]).select("pos", "v", "_z", "l", F.when(fits(), F.col("_c")).otherwise(F.col("i")).alias("i"))
+    return found.select("pos", "v", F.col("i").alias("t"))
+
+
 def smaller(seq: DataFrame, width: int = SHARD) -> DataFrame:
     """``(pos, v, prev, prev_v, next, next_v)``: nearest position before with a value not above, and after with a smaller value.
 
-    Solved within shards; what a shard leaves open can only be answered by rows that are open in other shards, so these
-    go through the same step again over wider shards, until none is open or one shard holds all. On values that fall or
-    rise throughout few rows drop out between the rounds.
+    Solved within shards. A row that is open in its shard has an answer only if an earlier (later) shard's least value fits,
+    which a scan of the shards' least values tells; of those that have, the nearest such shard is searched in dyadic nodes of the
+    least values, and the position in that shard by an as-of join over values. Null values aren't positions.
     """
     schema = "pos bigint, v bigint, prev bigint, prev_v bigint, next bigint, next_v bigint"
     rows = seq.select(F.col("pos").cast("bigint").alias("pos"), F.col("v").cast("bigint").alias("v")).where("v is not null")
-    top = int(rows.agg(F.max("pos").alias("m")).head()["m"] or 0)
-    done: DataFrame | None = None
-    while True:
-        s = rows.withColumn("_s", shard_of(F.col("pos"), width)).repartition("_s").sortWithinPartitions("_s", "pos")
-        got = s.mapInArrow(_smaller_in, schema)
-        if done is not None:
-            old = done.select("pos", *[F.col(c).alias(f"_{c}") for c in ("prev", "prev_v", "next", "next_v")])
-            got = join_on(got, old, ["pos"]).select("pos", "v", *[F.coalesce(f"_{c}", c).alias(c) for c in ("prev", "prev_v", "next", "next_v")])
-            got = got.unionByName(join_on(done, rows.select("pos"), ["pos"], "left_anti"))
+    s = rows.withColumn("_s", shard_of(F.col("pos"), width)).repartition("_s").sortWithinPartitions("_s", "pos")
+    got = written(s.mapInArrow(_smaller_in, schema), "smaller")
+    top = got.agg(F.max("pos").alias("m")).head()["m"]
+    levels = int((top or 0) // width).bit_length()
+    if not levels:
+        return got
+    got = got.withColumn("_s", shard_of(F.col("pos"), width))
+    least = written(got.groupBy("_s").agg(F.min("v").alias("m")), "least")
+    line = Window.orderBy("_s")  # a row per shard
+    sides = least.select("_s", F.min("m").over(line.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"), F.min("m").over(line.rowsBetween(1, Window.unboundedFollowing)).alias("_after"))
+    nodes = least.select("m", "_s", F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("l")).groupBy("l", F.expr("shiftright(_s, l)").alias("i")).agg(F.min("m").alias("m"))
+    nodes = written(nodes, "nodes")
+    own = got
+    for name, ahead in (("prev", False), ("next", True)):
+        side, other = ("_after", "prev") if ahead else ("_before", "next")
+        open_ = join_on(own.where(F.col(name).isNull()).select("pos", "v", "_s"), sides.select("_s", side), ["_s"], "inner")
+        open_ = open_.where(F.col(side) < F.col("v") if ahead else F.col(side) <= F.col("v"))
+        t = _beyond(open_, nodes, levels, ahead).withColumn("_q", F.col("v") - int(ahead))
+        # in the shard found, only rows that nothing smaller precedes (follows) can be the nearest
+        steps = own.where(F.col(other).isNull()).groupBy(F.col("_s").alias("t"), F.col("v").alias("at")).agg(F.max("pos").alias("to"))
+        hit = asof_join(t, steps, ["t"], "_q", "at", "_h").select("pos", F.col("_h.to").alias(f"_{name}"), F.col("_h.at").alias(f"_{name}_v"))
+        got = join_on(got, hit, ["pos"]).withColumns({name: F.coalesce(name, f"_{name}"), f"{name}_v": F.coalesce(f"{name}_v", f"_{name}_v")}).drop(f"_{name}", f"_{name}_v")
         got = written(got, "smaller")
-        if width > top:
-            return got
-        # open rows, and those that rows of later or earlier shards may see: nothing smaller after (before) them here
-        done, rows = got, got.where("prev is null or next is null").select("pos", "v")
-        width *= SHARD
+    return got.drop("_s")
 
 
 def cartesian_parents(seq: DataFrame) -> DataFrame:

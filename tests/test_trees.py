@@ -72,9 +72,27 @@ def test_lca(spark):
 def test_chain_and_cycle(spark):
     chain = spark.createDataFrame([(i, i - 1 if i else None) for i in range(100)], "id bigint, parent bigint")
     assert {r["id"]: r["depth"] for r in tr.depths(chain).collect()} == {i: i for i in range(100)}
-    with pytest.raises(ValueError):
-        tr.closure(spark.createDataFrame([(1, 2), (2, 1)], "id bigint, parent bigint"))
-    assert tr.closure(chain.limit(0)).collect() == []
+    for width in (1 << 16, 1):
+        with pytest.raises(Exception, match="cycle"):
+            tr.tour(spark.createDataFrame([(1, 2), (2, 1), (5, None)], "id bigint, parent bigint"), width).collect()
+    assert tr.tour(chain.limit(0)).collect() == [] and tr.dfs(chain.limit(0)).collect() == []
+
+
+def test_long_path(spark):
+    # deeper than any table of ancestors could be, the ids in no order
+    n = 100_000
+    path = spark.range(n).selectExpr("(id * 7919) % 100003 as id", "if(id = 0, null, ((id - 1) * 7919) % 100003) as parent", "id as d")
+    got = tr.depths(path)
+    assert got.count() == n and got.join(path, "id").where("depth <> d").isEmpty()
+
+
+@pytest.mark.parametrize("width", [1, 4, 1 << 16])
+def test_tour_by_groups(spark, width):
+    tree = random_tree(60, 4) + [(70, None), (71, 12345), (72, 72), (-5, 3)]
+    t = tr.tour(spark.createDataFrame(tree, "id bigint, parent bigint"), width).orderBy("pos").collect()
+    _, bp = walk([(i, None if p in (12345, i) else p) for i, p in tree])
+    assert [r["pos"] for r in t] == list(range(2 * len(tree))) and [r["enters"] for r in t] == bp
+    assert t[-1]["depth"] == 0 and t[-1]["node"] is None
 
 
 def parents(v):
@@ -86,7 +104,7 @@ def parents(v):
     return out
 
 
-@pytest.mark.parametrize("v", [[2, 4, 7, 8, 1, 6, 3, 9, 5], [3] * 40, list(range(50)), list(range(50, 0, -1)), [random.Random(7).randrange(20) for _ in range(300)], [5]])
+@pytest.mark.parametrize("v", [[2, 4, 7, 8, 1, 6, 3, 9, 5], [3] * 40, list(range(50)), list(range(50, 0, -1)), [random.Random(7).randrange(20) for _ in range(300)], [5], [100 - 10 * (i // 8) + i % 8 for i in range(90)], [10 * (i // 8) - i % 8 for i in range(90)]])
 def test_cartesian(spark, v, monkeypatch):
     monkeypatch.setattr(tr, "SHARD", 8)
     smaller = tr.smaller
