@@ -77,6 +77,34 @@ def fibonacci_bits(n: Column, top: int = 80) -> Column:
     return (reduce(lambda a, f: a + F.when(n >= f, 1).otherwise(0), fib, F.lit(0)) + 1).cast("int")
 
 
+def _choose(size: int) -> Column:
+    """``C(n, k)`` at place ``n * (size + 1) + k``, for ``n`` below ``size``."""
+    from math import comb
+
+    return F.array(*[F.lit(comb(n, k)) for n in range(size) for k in range(size + 1)]).cast("array<bigint>")
+
+
+def rrr_offset(x: Column, size: int = 63) -> Column:
+    """The number of a word of ``size`` bits among the words with as many ones: the ones, from the lowest on, choose among those left."""
+    ones = F.filter(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.call_function("shiftright", x, i) % 2 == 1)
+    table, k = _choose(size), F.bit_count(x)
+    return F.aggregate(F.transform(ones, lambda at, i: F.get(table, (size - 1 - at) * (size + 1) + k - i)), F.lit(0).cast("bigint"), lambda a, b: a + b)
+
+
+def rrr_word(ones: Column, offset: Column, size: int = 63) -> Column:
+    """The word with ``ones`` ones that has the number ``offset``: the inverse of :func:`rrr_offset`."""
+    table, zero = _choose(size), F.lit(0).cast("bigint")
+
+    def step(a, j):
+        c = F.get(table, (size - 1 - j) * (size + 1) + a.k.cast("int"))
+        take = (a.k > 0) & (a.rest >= c)
+        bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), j)
+        return F.struct(F.when(take, a.word.bitwiseOR(bit)).otherwise(a.word).alias("word"), F.when(take, a.rest - c).otherwise(a.rest).alias("rest"), F.when(take, a.k - 1).otherwise(a.k).alias("k"))
+
+    start = F.struct(zero.alias("word"), offset.cast("bigint").alias("rest"), ones.cast("bigint").alias("k"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(size - 1)), start, step, lambda a: a.word)
+
+
 def rrr_bits(x: Column, size: int = 63) -> Column:
     """Bits of a block of ``size`` bits as class (number of ones) and offset among the blocks of its class."""
     from math import comb

@@ -51,6 +51,29 @@ def fnv1_32(data: Column) -> Column:
     return F.when(F.octet_length(data) == 0, F.lit(FNV_START).cast("bigint")).otherwise(word)
 
 
+def _bytes(data: Column) -> Column:
+    none = F.array().cast("array<bigint>")
+    each = F.transform(F.sequence(F.lit(1), F.octet_length(data)), lambda i: F.conv(F.hex(F.substring(data.cast("binary"), i, F.lit(1))), 16, 10).cast("bigint"))
+    return F.when(F.octet_length(data) == 0, none).otherwise(each)
+
+
+def fnv1a_32(data: Column) -> Column:
+    """FNV-1a of the bytes of a text or binary, 32 bits, as a non-negative number."""
+    return F.aggregate(_bytes(data), F.lit(FNV_START).cast("bigint"), lambda h, b: (h.bitwiseXOR(b) * FNV_PRIME).bitwiseAND(F.lit(0xFFFFFFFF)))
+
+
+def fnv1a_24(data: Column) -> Column:
+    """FNV-1a folded to 24 bits: the high byte is added, without carry, to the low three."""
+    h = fnv1a_32(data)
+    return F.shiftright(h, 24).bitwiseXOR(h.bitwiseAND(F.lit(0xFFFFFF)))
+
+
+def pearson(data: Column, table: list[int] | None = None) -> Column:
+    """Pearson's hash of the bytes of a text or binary, 8 bits. ``table`` is a permutation of 0 to 255; without one, of the rule ``(167 i + 13) mod 256``."""
+    places = F.array(*[F.lit(x) for x in (table or [(167 * i + 13) % 256 for i in range(256)])]).cast("array<bigint>")
+    return F.aggregate(_bytes(data), F.lit(0).cast("bigint"), lambda h, b: F.get(places, h.bitwiseXOR(b).cast("int")))
+
+
 def directory(path: Column) -> Column:
     return F.regexp_extract(path, r"^(.*)/[^/]*$", 1)
 

@@ -13,9 +13,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.codes import rrr_offset, rrr_word
 from ..tables import written
 from .joins import asof_join
-from .sharding import join_on, neighbour, running, shard_of
+from .sharding import floor_div, join_on, neighbour, running, shard_of
 
 SHARD = 1 << 14
 
@@ -51,6 +52,55 @@ def next_bits(bits: DataFrame) -> DataFrame:
     return out
 
 
+def scan_bits(bits: DataFrame, queries: DataFrame) -> DataFrame:
+    """``(qid, one, zero)``: position of the (skip+1)-th one, and zero, at or after ``pos``; -1 if there are fewer. ``queries`` has ``qid, pos, skip``.
+
+    A negative ``pos`` counts from 0, one past the end has none.
+    """
+    ranks = bit_ranks(bits)
+    q = queries.select("qid", F.greatest("pos", F.lit(0)).alias("pos"), "skip")
+    q = join_on(q, ranks.select("pos", "rank1", "rank0"), ["pos"])
+    for name, kind, rank in (("one", True, "rank1"), ("zero", False, "rank0")):
+        at = ranks.where(F.col("bit") == F.lit(kind)).select(F.col(rank).alias("_r"), F.col("pos").alias(name))
+        q = join_on(q.withColumn("_r", F.col(rank) + F.col("skip")), at, ["_r"]).drop("_r")
+    return q.select("qid", *[F.coalesce(c, F.lit(-1)).cast("bigint").alias(c) for c in ("one", "zero")])
+
+
+def value_ranks(seq: DataFrame, value: str = "v") -> DataFrame:
+    """``(pos, v, code)``: each value's place among the distinct values, from 0; null for null. Distinct values are numbered by shards of value."""
+    words = seq.where(F.col(value).isNotNull()).select(F.col(value).alias("v")).distinct()
+    codes = numbered(words, ["v"], "v", "code")
+    return join_on(seq.select("pos", F.col(value).alias("v")), codes, ["v"]).select("pos", "v", "code")
+
+
+def rrr_blocks(bits: DataFrame, size: int = 63) -> DataFrame:
+    """A bit array compressed by blocks of ``size`` bits: ``(block, ones, offset, before)``, the class of each block (its ones), its number
+    among the blocks of its class, and the ones before it. Blocks without ones are there too; missing bits are zeros."""
+    word = F.sum(F.when(F.col("bit"), F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod("pos", F.lit(size)).cast("int"))).otherwise(F.lit(0).cast("bigint")))
+    b = bits.groupBy(floor_div(F.col("pos"), size).alias("block")).agg(word.alias("_w"))
+    b = b.select("block", F.bit_count("_w").cast("bigint").alias("ones"), rrr_offset(F.col("_w"), size).alias("offset"), shard_of(F.col("block"), SHARD).alias("_s"))
+    return running(b, [], "_s", ["block"], {"before": F.col("ones")}, inclusive=False).select("block", "ones", "offset", F.col("before").cast("bigint").alias("before"))
+
+
+def rrr_lookup(blocks: DataFrame, points: DataFrame, size: int = 63) -> DataFrame:
+    """``(pos, bit, rank1)`` of each point from compressed blocks: only the point's own block is decoded."""
+    p = points.select("pos", floor_div(F.col("pos"), size).alias("block"))
+    word = rrr_word(F.col("ones"), F.col("offset"), size)
+    at = F.pmod("pos", F.lit(size)).cast("int")
+    low = word.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("bigint"), at) - 1)
+    return join_on(p, blocks, ["block"], "inner").select("pos", (F.call_function("shiftright", word, at) % 2 == 1).alias("bit"), (F.col("before") + F.bit_count(low)).cast("bigint").alias("rank1"))
+
+
+def rrr_select(blocks: DataFrame, ranks: DataFrame, size: int = 63) -> DataFrame:
+    """``(r, pos)``: the (r+1)-th one from compressed blocks; null if there are fewer."""
+    at = blocks.where("ones > 0").select(F.col("before").alias("at"), "block", "ones", "offset")
+    hit = asof_join(ranks.select("r"), at, [], "r", "at", "_h", width=1 << 20)
+    word, k = rrr_word(F.col("_h.ones"), F.col("_h.offset"), size), (F.col("r") - F.col("_h.at")).cast("int")
+    # the word is decoded once, as the element of an array, not for each of its bits
+    inside = F.get(F.get(F.transform(F.array(word), lambda w: F.filter(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.call_function("shiftright", w, i) % 2 == 1)), F.lit(0)), k)
+    return hit.select("r", (F.col("_h.block") * size + inside).cast("bigint").alias("pos"))
+
+
 def sparse_ranks(positions: DataFrame, points: DataFrame) -> DataFrame:
     """``(pos, rank, is_set)`` of each point: set positions before it, and whether it is one. ``positions`` has distinct ``at``."""
     p = numbered(positions, ["at"], "at", "i")

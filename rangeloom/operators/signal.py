@@ -5,10 +5,11 @@ Values count in whole units of ``1 / SCALE`` wherever they are summed, so sums d
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .joins import asof_join, overlap_join
+from .sequence import extremes
 from .sharding import join_on, neighbour, running, scan, shard_of, spread
 
 SCALE = 1000
@@ -335,6 +336,44 @@ def index_ranges(signal: DataFrame, size: int = 100) -> DataFrame:
     return out.withColumn("psum", F.col("psum") / F.lit(float(SCALE)))
 
 
+def index_extremes(signal: DataFrame, ranges: DataFrame) -> DataFrame:
+    """``(qid, psum, lo, hi)`` of interval numbers ``[i, j)`` of a chrom: sum over bases before interval ``i``, least and greatest value in the range.
+
+    ``ranges`` has ``qid, chrom, i, j``. Numbers beyond the chrom's last are left out; null where none remains, ``psum`` where there is no ``i``.
+    """
+    c = cumulated(signal).select("chrom", "idx", "val", "sum0")
+    size = c.groupBy("chrom").agg(F.count(F.lit(1)).alias("_n"))  # a row per chrom
+    size = size.withColumn("_o", F.coalesce(F.sum("_n").over(Window.orderBy("chrom").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    line = join_on(c, size.select("chrom", "_o"), KEYS, "inner").select((F.col("_o") + F.col("idx")).alias("pos"), "val", "sum0")
+    q = join_on(ranges.select("qid", "chrom", F.greatest("i", F.lit(0)).alias("i"), "j"), size, KEYS)
+    q = q.select("qid", (F.col("_o") + F.col("i")).alias("b"), (F.col("_o") + F.least("j", "_n")).alias("e"), (F.col("i") < F.col("_n")).alias("_in"))
+    ext = extremes(line.select("pos", F.col("val").alias("v")), q.where("b < e").select("qid", "b", "e"))
+    sums = join_on(q.where("_in").select("qid", F.col("b").alias("pos")), line.select("pos", "sum0"), ["pos"], "inner").select("qid", (F.col("sum0") / F.lit(float(SCALE))).alias("psum"))
+    return join_on(join_on(ranges.select("qid"), sums, ["qid"]), ext.select("qid", F.col("min").alias("lo"), F.col("max").alias("hi")), ["qid"])
+
+
+def order_violations(rows: DataFrame, keys: tuple[str, ...] = ("track_id", "chrom"), order: str = "ord") -> DataFrame:
+    """``(track_id, chrom, ord, problem)``: rows that, in the order given, start before the row before (``start``), or start with it and
+    end earlier (``end``); and rows with ``ed <= st`` (``empty``). Rows with a null key part, ``st``, ``ed`` or order aren't looked at."""
+    good = rows.dropna(subset=[*keys, "st", "ed", order]).select(F.struct(*keys).alias("_k"), "st", "ed", F.col(order).alias("_i"))
+    s = neighbour(good.withColumn("_s", shard_of(F.col("_i"), SHARD)), ["_k"], "_s", ["_i", "st", "ed"], ["st", "ed"], "_b")
+    p = F.when(F.col("ed") <= F.col("st"), "empty").when(F.col("st") < F.col("_b.st"), "start").when((F.col("st") == F.col("_b.st")) & (F.col("ed") < F.col("_b.ed")), "end")
+    return s.select("_k.*", F.col("_i").alias(order), p.alias("problem")).where("problem is not null")
+
+
+def end_pairs(rows: DataFrame, keys: tuple[str, ...] = ("track_id", "chrom"), id_: str = "ord") -> DataFrame:
+    """Starts and ends of intervals in one order of place, and each interval's pair: ``(track_id, chrom, ord, first, span)``.
+
+    ``first`` is the number of the start among all starts and ends of its key, by position and ``id_``; ``span`` is how many
+    places later its end comes. Rows with ``ed <= st`` or nulls are left out; ``id_`` is unique within the keys.
+    """
+    k = F.struct(*keys)
+    good = rows.dropna(subset=[*keys, id_]).where("st < ed")
+    each = good.select(k.alias("_k"), F.col(id_).alias("_i"), F.explode(F.array("st", "ed")).alias("_p")).withColumn("_s", shard_of(F.col("_p"), SHARD))
+    n = running(each, ["_k"], "_s", ["_p", "_i"], {"_n": F.lit(1).cast("bigint")}, inclusive=False).groupBy("_k", "_i").agg(F.min("_n").cast("bigint").alias("first"), (F.max("_n") - F.min("_n")).cast("bigint").alias("span"))
+    return n.select("_k.*", F.col("_i").alias(id_), "first", "span")
+
+
 def depth(rows: DataFrame, keys: tuple[str, ...] = ("track_id", "chrom")) -> DataFrame:
     """Sweep over the ends of possibly overlapping intervals: ``(track_id, chrom, pos, depth)`` after each position where it changes."""
     k = F.struct(*keys)

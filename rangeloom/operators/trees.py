@@ -21,6 +21,8 @@ from .sharding import join_on, neighbour, running, scan, shard_of
 SHARD = 1 << 14
 #: Copies of a row that many rows may ask for.
 SALTS = 32
+#: Beyond every position of a bracket sequence whose levels are searched from the right.
+_FAR = (1 << 40) - 1
 
 
 def edges(tree: DataFrame) -> DataFrame:
@@ -188,6 +190,21 @@ def enclosing(bits: DataFrame) -> DataFrame:
     return got.select("pos", F.col("_h.at").alias("enclose"))
 
 
+def range_enclosing(bits: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``(qid, pos)``: of opening parentheses ``i < j`` the first opening one after the close of ``i`` that encloses ``j``; null if there is none,
+    also where ``i`` encloses ``j``. ``pairs`` has ``qid, i, j``.
+
+    It is the last position of the lowest level between the close of ``i`` and ``j``, if that opens.
+    """
+    s = written(_levels(bits).select("pos", "bit", "level"), "levels")
+    close = matches(bits).where("bit").select(F.col("pos").alias("i"), F.col("match").alias("_c"))
+    q = join_on(pairs.select("qid", "i", "j"), close, ["i"], "inner").where("_c < j")
+    # of equal levels the smallest place counts: places from the right
+    got = extremes(s.select((F.lit(_FAR) - F.col("pos")).alias("pos"), F.col("level").alias("v")), q.select("qid", (F.lit(_FAR) - F.col("j") + 1).alias("b"), (F.lit(_FAR) - F.col("_c")).alias("e")), levels=_FAR.bit_length())
+    hit = join_on(got.select("qid", (F.lit(_FAR) - F.col("min_at")).alias("pos")), s.where("bit").select("pos", "bit"), ["pos"])
+    return join_on(pairs.select("qid"), hit.select("qid", F.when(F.col("bit"), F.col("pos")).alias("pos")), ["qid"])
+
+
 def _smaller_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by shard and position: each one's previous and next smaller position within its shard.
 

@@ -68,6 +68,8 @@ def queries() -> dict:
         "bit_fields": on(words, lambda w: w.select("id", b.field(F.col("x"), 7, 13).alias("field"), b.with_field(F.col("x"), 3, 8, F.col("id")).alias("changed"), b.select_in_word(F.col("x"), 3).alias("fourth"), b.binary_text(F.col("x"), 24).alias("text"), b.reversed_bits(F.col("x"), 32).alias("reversed"), b.ceil_div(F.col("x"), 97).alias("parts"))),
         "md5_hex": docs(lambda x: x.select("doc_id", F.md5("text").alias("md5"))),
         "fnv_hash": lambda spark, d: table(spark, d, "part").select("p_partkey", t.fnv1_32(F.col("p_name")).alias("fnv")),
+        "short_hashes": lambda spark, d: table(spark, d, "part").select("p_partkey", t.fnv1a_32(F.col("p_name")).alias("fnv1a"), t.fnv1a_24(F.col("p_name")).alias("fnv24"), t.pearson(F.col("p_name")).alias("pearson")),
+        "rrr_words": on(words, lambda w: w.select("id", F.expr("x & 9223372036854775807").alias("x")).select("id", F.bit_count("x").cast("int").alias("ones"), c.rrr_offset(F.col("x")).alias("offset"), c.rrr_word(F.bit_count("x"), c.rrr_offset(F.col("x"))).alias("back"))),
         "string_funcs": docs(lambda x: x.select("doc_id", t.trimmed(F.col("subject")).alias("trimmed"), F.size(t.tokens(F.col("subject"))).alias("tokens"), F.col("sender").endswith(".org").alias("org"), F.concat_ws("/", "source", "lang").alias("path"))),
         "path_funcs": docs(lambda x: x.select("doc_id", t.directory(F.col("source")).alias("dir"), t.base_name(F.col("source")).alias("base"), t.extension(F.col("message_id")).alias("ext"))),
         "number_texts": lambda spark, d: table(spark, d, "bed_signal").select("row_id", t.number_text(F.col("val")).alias("text"), t.decimals(F.when(~F.isnan("val"), F.col("val"))).alias("decimals")),
@@ -107,6 +109,10 @@ m AS (SELECT v, code FROM s UNION ALL SELECT l.x, f.x FROM l JOIN f USING (i)) S
         "remap_back": ARRAY + " SELECT pos, v FROM a",
         "front_to_values": ARRAY + " SELECT pos, v FROM a",
         "rrr_bits": W + f" SELECT id, ({[(comb(63, k) - 1).bit_length() for k in range(64)]}[bit_count(x) + 1] + 6)::INTEGER AS bits FROM w",
+        "rrr_words": W + f", o AS (SELECT id, x, list_filter(range(63), lambda i: (x >> i::INTEGER) & 1 = 1) o FROM w) SELECT id, bit_count(x)::INTEGER AS ones, list_sum(list_transform(range(len(o)), lambda i: ({[comb(n, k) for n in range(63) for k in range(64)]})[(62 - o[i + 1]) * 64 + len(o) - i + 1]))::BIGINT AS \"offset\", x AS back FROM o",
+        "short_hashes": """WITH b AS (SELECT p_partkey, list_transform(string_split(p_name, ''), lambda x: ascii(x)::BIGINT) b FROM part),
+h AS (SELECT p_partkey, list_reduce(list_prepend(2166136261::BIGINT, b), lambda h, x: (xor(h, x) * 16777619) & 4294967295) f, list_reduce(list_prepend(0::BIGINT, b), lambda h, x: (167 * xor(h, x) + 13) % 256) p FROM b)
+SELECT p_partkey, f AS fnv1a, xor(f >> 24, f & 16777215) AS fnv24, p AS pearson FROM h""",
         "bit_functions": W + " SELECT id, bit_count(x)::INTEGER AS ones, length(t)::INTEGER AS length, (length(t) - 1)::INTEGER AS msb, (length(t) - length(rtrim(t, '0')))::INTEGER AS lsb, CASE WHEN x = 1 THEN 0 ELSE length(ltrim(bin(x - 1), '0')) END::INTEGER AS ceil_log2, (length(t) - 1)::INTEGER AS floor_log2 FROM y",
         "bit_fields": W + """, z AS (SELECT *, reverse(right(lpad(t, 64, '0'), 24)) t24, reverse(right(lpad(t, 64, '0'), 32)) t32, list_filter(range(63), lambda i: (x >> i::INTEGER) & 1 = 1) o FROM y)
 SELECT id, (x >> 7) & 8191 AS field, (x & ~2040::BIGINT) | ((id & 255) << 3) AS changed, o[4]::INTEGER AS fourth, t24 AS text, list_reduce(list_transform(range(32), lambda i: ((t32[(i + 1)::INTEGER])::BIGINT) << (31 - i)::INTEGER), lambda p, q: p + q) AS reversed, (x + 96) // 97 AS parts FROM z""",

@@ -102,6 +102,10 @@ def queries() -> dict:
         "bit_select1": on(bits, sq.select_bits),
         "bit_select0": on(bits, lambda b: sq.select_bits(b, False)),
         "bit_next": on(bits, sq.next_bits),
+        "bit_scan": two(bits, lambda s, d: table(s, d, "orders").selectExpr("o_orderkey as qid", "o_custkey as pos", "o_orderkey % 40 as skip"), sq.scan_bits),
+        "rrr_rank": two(bits, lambda s, d: table(s, d, "orders").selectExpr("o_custkey as pos").distinct(), lambda b, p: sq.rrr_lookup(sq.rrr_blocks(b), p)),
+        "rrr_select": two(bits, lambda s, d: table(s, d, "orders").selectExpr("o_custkey as r").distinct(), lambda b, r: sq.rrr_select(sq.rrr_blocks(b), r)),
+        "value_ranks": on(array, sq.value_ranks),
         "popcount": on(bits, lambda b: b.agg(F.sum(F.col("bit").cast("bigint")).alias("ones"), F.count(F.lit(1)).alias("length"))),
         "sparse_rank_select": lambda spark, d: sq.sparse_ranks(*sparse(spark, d)),
         "excess": on(bits, sq.excess),
@@ -143,6 +147,10 @@ def oracle_sql() -> dict[str, str]:
         "bit_select1": BITS + " SELECT row_number() OVER (ORDER BY pos) - 1 AS r, pos FROM b WHERE bit",
         "bit_select0": BITS + " SELECT row_number() OVER (ORDER BY pos) - 1 AS r, pos FROM b WHERE NOT bit",
         "bit_next": BITS + " SELECT pos, coalesce(min(CASE WHEN bit THEN pos END) OVER w, -1) AS next1, coalesce(min(CASE WHEN NOT bit THEN pos END) OVER w, -1) AS next0 FROM b WINDOW w AS (ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)",
+        "bit_scan": BITS + ", k AS (SELECT pos, bit, row_number() OVER (PARTITION BY bit ORDER BY pos) - 1 r FROM b), m AS (SELECT pos, count(*) FILTER (bit) OVER w r1, count(*) FILTER (NOT bit) OVER w r0 FROM b WINDOW w AS (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) SELECT o_orderkey AS qid, coalesce(x.pos, -1) AS one, coalesce(y.pos, -1) AS zero FROM orders LEFT JOIN m ON m.pos = o_custkey LEFT JOIN k x ON x.bit AND x.r = r1 + o_orderkey % 40 LEFT JOIN k y ON NOT y.bit AND y.r = r0 + o_orderkey % 40",
+        "rrr_rank": BITS + ", s AS (SELECT pos, bit, count(*) FILTER (bit) OVER (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) rank1 FROM b) SELECT pos, bit, rank1 FROM s WHERE pos IN (SELECT o_custkey FROM orders)",
+        "rrr_select": BITS + ", k AS (SELECT pos, row_number() OVER (ORDER BY pos) - 1 r FROM b WHERE bit) SELECT r, pos FROM (SELECT DISTINCT o_custkey r FROM orders) LEFT JOIN k USING (r)",
+        "value_ranks": ARRAY + " SELECT pos, v, dense_rank() OVER (ORDER BY v) - 1 AS code FROM a",
         "popcount": BITS + " SELECT sum(bit::INTEGER)::BIGINT AS ones, count(*) AS length FROM b",
         "sparse_rank_select": "SELECT o_orderkey AS pos, coalesce(sum((o_orderstatus = 'F')::INTEGER) OVER (ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS rank, o_orderstatus = 'F' AS is_set FROM orders",
         "excess": BITS + " SELECT pos, bit, sum(CASE WHEN bit THEN 1 ELSE -1 END) OVER (ORDER BY pos)::BIGINT AS excess FROM b",

@@ -139,6 +139,9 @@ def queries() -> dict:
         "zone_map": alone(sg.zone_map),
         "sampled_sums": alone(sg.sampled_sums),
         "index_ranges": alone(sg.index_ranges),
+        "index_extremes": lambda spark, d: sg.index_extremes(signal(spark, d), asked(spark, d).selectExpr("region_id as qid", "chrom", "region_id % 97 as i", "region_id % 97 + 1 + coalesce(n, 0) as j")),
+        "feature_order": lambda spark, d: sg.order_violations(table(spark, d, "bed_features")),
+        "end_pairs": lambda spark, d: sg.end_pairs(table(spark, d, "bed_features")),
         "quantise": alone(sg.quantised),
         "dense_to_runs": alone(lambda s: sg.runs_of(sg.dense(s))),
         "validate_overlap": lambda spark, d: sg.overlap_violations(table(spark, d, "bed_signal")),
@@ -182,6 +185,9 @@ SELECT region_id, which, q.chrom, pos, coalesce(idx + 1, 0) AS idx FROM q ASOF L
         "zone_map": SIGNAL + " SELECT chrom, idx - idx % 16 AS zone, count(*) AS n, min(val) AS min_val, max(val) AS max_val FROM c GROUP BY ALL",
         "sampled_sums": SIGNAL + " SELECT chrom, idx, sum0, sqr0::DOUBLE AS sqr0 FROM c WHERE idx % 64 = 0",
         "index_ranges": SIGNAL + ' SELECT chrom, idx - idx % 100 AS "first", max(idx) + 1 AS "last", arg_min(sum0, idx) / 1000.0::DOUBLE AS psum, min(val) AS lo, max(val) AS hi FROM c GROUP BY chrom, idx - idx % 100',
+        "index_extremes": SIGNAL + ", q AS (SELECT region_id qid, chrom, region_id % 97 i, region_id % 97 + 1 + coalesce(n, 0) j FROM query_regions) SELECT qid, arg_min(sum0, idx) FILTER (idx = i) / 1000.0::DOUBLE AS psum, min(val) AS lo, max(val) AS hi FROM q LEFT JOIN c ON q.chrom = c.chrom AND idx >= i AND idx < j GROUP BY 1",
+        "feature_order": "WITH l AS (SELECT *, lag(st) OVER w ps, lag(ed) OVER w pe FROM bed_features WHERE track_id IS NOT NULL AND chrom IS NOT NULL AND st IS NOT NULL AND ed IS NOT NULL AND ord IS NOT NULL WINDOW w AS (PARTITION BY track_id, chrom ORDER BY ord)), p AS (SELECT track_id, chrom, ord, CASE WHEN ed <= st THEN 'empty' WHEN st < ps THEN 'start' WHEN st = ps AND ed < pe THEN 'end' END problem FROM l) SELECT * FROM p WHERE problem IS NOT NULL",
+        "end_pairs": "WITH e AS (SELECT track_id, chrom, ord, unnest([st, ed]) p FROM bed_features WHERE st < ed AND track_id IS NOT NULL AND chrom IS NOT NULL AND ord IS NOT NULL), n AS (SELECT *, row_number() OVER (PARTITION BY track_id, chrom ORDER BY p, ord) - 1 i FROM e) SELECT track_id, chrom, ord, min(i) AS \"first\", max(i) - min(i) AS span FROM n GROUP BY ALL",
         "quantise": SIGNAL + ", k AS (SELECT chrom, u, row_number() OVER (PARTITION BY chrom ORDER BY u) - 1 rk FROM (SELECT DISTINCT chrom, u FROM s)), m AS (SELECT chrom, min(u) lo FROM s GROUP BY 1) SELECT chrom, st, u - lo AS code, rk AS rank, u / 1000.0::DOUBLE AS back FROM s JOIN k USING (chrom, u) JOIN m USING (chrom)",
         "dense_to_runs": ISLANDS.replace("FROM s WINDOW", "FROM s WHERE val <> 0 WINDOW").format("ped = st AND pv = val", runs.replace(", count(*) AS n", "")),
         "validate_overlap": """

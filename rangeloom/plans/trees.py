@@ -9,6 +9,7 @@ from ..operators.sequence import numbered
 from ..operators.sharding import join_on
 from ..sources import newick
 from ..tables import table
+from .sequences import ARRAY, array
 
 
 def heap(spark, d):
@@ -52,9 +53,14 @@ def queries() -> dict:
         one = s.selectExpr("s_suppkey as qid", "s_suppkey + 1000000 as a", f"(i * 31 + 7) % {max(n, 1)} as i")
         return join_on(one, s.selectExpr("i", "s_suppkey + 1000000 as b"), ["i"]).select("qid", "a", "b")
 
-    def quantities(spark, d):
-        from .sequences import array
+    def node_pairs(spark, d):
+        """The brackets of each supplier and of the one drawn with it, the earlier first."""
+        n = tr.dfs(hierarchy(spark, d))
+        at = tr.parentheses(n).where("bit").select("id", "pos")
+        p = suppliers(spark, d).select("qid", F.explode(F.array("a", "b")).alias("id"))
+        return tr.parentheses(n).select("pos", "bit"), join_on(p, at, ["id"], "inner").groupBy("qid").agg(F.min("pos").alias("i"), F.max("pos").alias("j"))
 
+    def quantities(spark, d):
         return array(spark, d)
 
     return {
@@ -67,6 +73,7 @@ def queries() -> dict:
         "bp_sequence": on(bp, lambda b: b),
         "bp_match": on(bp, tr.matches),
         "bp_enclose": on(bp, tr.enclosing),
+        "bp_range_enclose": lambda spark, d: tr.range_enclosing(*node_pairs(spark, d)),
         "cartesian_parent": on(sizes, tr.cartesian_parents),
         "cartesian_parent_long": on(quantities, tr.cartesian_parents),
         "newick_nodes": on(texts, lambda t: newick.read(t).select("tree_id", "id", "parent", "child", "name", "length")),
@@ -99,6 +106,14 @@ def oracle_sql() -> dict[str, str]:
         "bp_sequence": HIER + " SELECT pos, bit FROM p",
         "bp_match": HIER + " SELECT x.pos, x.bit, y.pos AS match FROM p x JOIN p y ON x.id = y.id AND x.bit <> y.bit",
         "bp_enclose": HIER + " SELECT x.pos, y.pos AS enclose FROM p x JOIN t USING (id) LEFT JOIN p y ON y.id = t.parent AND y.bit WHERE x.bit",
+        "bp_range_enclose": HIER + """, o AS (SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) - 1 i, count(*) OVER () n FROM supplier),
+k AS (SELECT x.s_suppkey qid, x.s_suppkey + 1000000 a, y.s_suppkey + 1000000 b FROM o x JOIN o y ON y.i = (x.i * 31 + 7) % x.n),
+m AS (SELECT x.id, x.pos, y.pos cl FROM p x JOIN p y ON x.id = y.id AND x.bit AND NOT y.bit), ij AS (SELECT qid, least(x.pos, y.pos) i, greatest(x.pos, y.pos) j FROM k JOIN m x ON x.id = a JOIN m y ON y.id = b)
+SELECT ij.qid, min(e.pos) AS pos FROM ij JOIN m c ON c.pos = i LEFT JOIN m e ON e.pos > c.cl AND e.pos < j AND e.cl > j GROUP BY 1""",
+        "cartesian_parent_long": ARRAY + """, q AS (SELECT pos, v FROM a), u AS (SELECT DISTINCT v FROM q),
+n AS (SELECT q.pos, q.v, max(y.pos) a FROM q JOIN u ON u.v <= q.v ASOF LEFT JOIN q y ON y.v = u.v AND q.pos > y.pos GROUP BY ALL),
+m AS (SELECT q.pos, min(y.pos) b FROM q JOIN u ON u.v < q.v ASOF LEFT JOIN q y ON y.v = u.v AND q.pos < y.pos GROUP BY ALL)
+SELECT n.pos, n.v, CASE WHEN b IS NULL OR (a IS NOT NULL AND l.v > r.v) THEN a ELSE b END AS parent FROM n LEFT JOIN m USING (pos) LEFT JOIN q l ON l.pos = a LEFT JOIN q r ON r.pos = b""",
         "cartesian_parent": "WITH q AS (SELECT p_partkey pos, p_size::BIGINT v FROM part)" + CARTESIAN,
         "newick_nodes": TEXTS + " SELECT tree_id, 0::BIGINT AS id, NULL::BIGINT AS parent, 0::BIGINT AS child, any_value(r_name) AS name, NULL::DOUBLE AS length FROM x GROUP BY 1 UNION ALL SELECT tree_id, i, 0, i - 1, n_name, n_nationkey::DOUBLE FROM x",
         "newick_texts": TEXTS + " SELECT tree_id, '(' || string_agg(n_name || ':' || n_nationkey, ',' ORDER BY i) || ')' || any_value(r_name) || ';' AS text FROM x GROUP BY 1",
