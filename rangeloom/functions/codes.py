@@ -81,7 +81,7 @@ def _choose(size: int) -> Column:
     """``C(n, k)`` at place ``n * (size + 1) + k``, for ``n`` below ``size``."""
     from math import comb
 
-    return F.array(*[F.lit(comb(n, k)) for n in range(size) for k in range(size + 1)]).cast("array<bigint>")
+    return F.expr("array(" + ",".join(f"{comb(n, k)}L" for n in range(size) for k in range(size + 1)) + ")")  # one call, not one an element
 
 
 def rrr_offset(x: Column, size: int = 63) -> Column:
