@@ -23,7 +23,8 @@ class Track:
         return cls(spark.read.parquet(path) if path.rstrip("/").endswith((".parquet", ".track")) else files.read_signal(spark, path))
 
     def save(self, path: str) -> Track:
-        return Track(files.build_track(self.signal, path))
+        """Stores the track in order of place, with its running sums."""
+        return Track(files.build_track(sg.cumulated(self.signal), path))
 
     def dump(self, path: str, annotation: bool = False) -> None:
         files.write_signal(self.signal, path, annotation)
@@ -41,24 +42,29 @@ class Track:
             raise ValueError("a region needs st < ed and at least one window")
         return self.signal.sparkSession.createDataFrame([(0, chrom, st, ed, n)], "region_id bigint, chrom string, st bigint, ed bigint, n bigint")
 
+    def _near(self, chrom: str, st: int, ed: int) -> DataFrame:
+        """The intervals that a region can say anything about: a stored track skips the others by chrom and position. Sums within a region don't need the running sums."""
+        near = self.signal.where((F.col("chrom") == chrom) & (F.col("st") <= ed) & (F.col("ed") > st))
+        return near.select("chrom", "st", "ed", "val")
+
     def summary(self, op: str, chrom: str, st: int, ed: int, n: int = 1):
         """``avg, sum, cov, min, max, stdev, cnt`` of ``n`` windows as a list; ``lst`` and ``map`` as rows and values."""
-        r = self._region(chrom, st, ed, n)
+        r, near = self._region(chrom, st, ed, n), self._near(chrom, st, ed)
         if op == "lst":
-            return [tuple(x)[1:] for x in sg.listed(self.signal, r).orderBy("st").collect()]
+            return [tuple(x)[1:] for x in sg.listed(near, r).orderBy("st").collect()]
         if op == "map":
-            return [x["val"] for x in sg.base_values(self.signal, r).orderBy("pos").collect()]
+            return [x["val"] for x in sg.base_values(near, r).orderBy("pos").collect()]
         col = {"cnt": "started"}.get(op, op)
-        return [x[col] for x in sg.window_summary(self.signal, r).orderBy("bin").select(col).collect()]
+        return [x[col] for x in sg.window_summary(near, r, [col]).orderBy("bin").select(col).collect()]
 
     def region(self, chrom: str, st: int, ed: int) -> dict:
         """All measures of one region."""
-        return sg.region_summary(self.signal, self._region(chrom, st, ed)).drop("region_id").head().asDict()
+        return sg.region_summary(self._near(chrom, st, ed), self._region(chrom, st, ed)).drop("region_id").head().asDict()
 
     def at(self, chrom: str, pos: int) -> dict:
         """All that is known about one position."""
         p = self.signal.sparkSession.createDataFrame([(chrom, pos)], "chrom string, pos bigint")
-        return sg.at_positions(self.signal, p).drop("chrom", "pos").head().asDict()
+        return sg.at_positions(self.signal.where(F.col("chrom") == chrom), p).drop("chrom", "pos").head().asDict()
 
     def interval(self, chrom: str, i: int) -> dict | None:
         """The i-th interval of a chrom, None if there is none; an absent annotation is empty."""

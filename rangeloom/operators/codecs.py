@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.codes import to_signed, to_unsigned
-from .sharding import join_on, neighbour, shard_of
+from ..tables import written
+from .joins import asof_join
+from .sharding import join_on, neighbour, running, shard_of
 
 BLOCK = 64
 SHARD = 1 << 14
@@ -99,23 +101,90 @@ def canonical(lengths: dict[int, int]) -> dict[int, str]:
     return out
 
 
-def huffman_table(array: DataFrame, most: int = 1 << 16) -> DataFrame:
-    """``(v, n, bits, code)``: a canonical Huffman code of the values.
+def huffman_groups(times: dict[int, int]) -> dict[int, dict[int, int]]:
+    """Code lengths of a Huffman code from ``{count: number of values with it}``: ``{count: {length: number of values}}``.
 
-    Counted in Spark; the tree is made on the driver, for alphabets of at most ``most`` values (else ``ValueError``).
+    Nodes of equal weight are paired all at once, so the work follows the number of different counts, of which there are at most
+    ``sqrt(2 n)`` among ``n`` rows, not the number of values.
     """
-    rows = histogram(array).where("v is not null").limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError("too many different values for a Huffman code")
-    counts = {r["v"]: r["n"] for r in rows}
-    lengths = huffman_lengths(counts)
-    codes = canonical(lengths)
-    return array.sparkSession.createDataFrame([(v, counts[v], lengths[v], codes[v]) for v in sorted(counts)], "v bigint, n bigint, bits int, code string")
-
-
-def huffman_encode(array: DataFrame, codes: DataFrame) -> DataFrame:
-    """``(pos, code)``; the code table is bounded by its maker, so it is broadcast."""
-    return join_on(array, F.broadcast(codes.select("v", "code")), ["v"]).select("pos", "code")
+    if sum(times.values()) == 1:
+        return {c: {1: 1} for c in times}
+    parts: list[list[tuple[int, int]]] = []  # of each group of nodes: (group, nodes it takes of it per node)
+    heap = []
+    for c, n in sorted(times.items()):
+        parts.append([])
+        heap.append((c, len(parts) - 1, n))
+    leaves = [c for c, _ in sorted(times.items())]
+    heapq.heapify(heap)
+    while True:
+        w, g, n = heapq.heappop(heap)
+        if n > 1:
+            if n % 2:
+                heapq.heappush(heap, (w, g, 1))
+            parts.append([(g, 2)])
+            heapq.heappush(heap, (2 * w, len(parts) - 1, n // 2))
+        elif heap:
+            x, h, m = heapq.heappop(heap)
+            if m > 1:
+                heapq.heappush(heap, (x, h, m - 1))
+            parts.append([(g, 1), (h, 1)])
+            heapq.heappush(heap, (w + x, len(parts) - 1, 1))
+        else:
+            break
+    depth: list[dict[int, int]] = [{} for _ in parts]
+    depth[-1] = {0: 1}
+    for g in range(len(parts) - 1, -1, -1):
+        for child, k in parts[g]:
+            for d, n in depth[g].items():
+                depth[child][d + 1] = depth[child].get(d + 1, 0) + k * n
+    return {c: depth[i] for i, c in enumerate(leaves)}
+
+
+def huffman_table(array: DataFrame) -> DataFrame:
+    """``(v, n, bits, code)``: a canonical Huffman code of the values, of any number of them.
+
+    Values and the numbers of values of each count are counted in Spark; the driver sees the different counts only (at most
+    ``sqrt(2 n)`` of ``n`` rows) and says how many values of each get which length. Of values of one count the smaller get
+    the shorter codes; codes ascend by length, then value.
+    """
+    values = written(histogram(array).where("v is not null"), "values")
+    times = {r["n"]: r["k"] for r in values.groupBy("n").agg(F.count(F.lit(1)).alias("k")).collect()}
+    spark = array.sparkSession
+    groups = huffman_groups(times) if times else {}
+    # within a count the values up to each bound have a length
+    bounds, total = [], {}
+    for n, lengths in groups.items():
+        upto = 0
+        for bits, k in sorted(lengths.items()):
+            bounds.append((n, upto, bits))
+            upto += k
+            total[bits] = total.get(bits, 0) + k
+    first, code, last = [], 0, 0
+    for bits in sorted(total):
+        code <<= bits - last
+        first.append((bits, str(code)))
+        code, last = code + total[bits], bits
+    by_value = values.withColumn("_s", shard_of(F.col("v"), SHARD))
+    ranked = running(by_value, ["n"], "_s", ["v"], {"_r": F.lit(1).cast("bigint")}, inclusive=False)
+    steps = spark.createDataFrame(bounds, "n bigint, at bigint, bits int")
+    ranked = asof_join(ranked.select("v", "n", "_s", "_r"), steps, ["n"], "_r", "at", "_h", width=1 << 20).select("v", "n", "_s", F.col("_h.bits").alias("bits"))
+    placed = running(ranked, ["bits"], "_s", ["v"], {"_i": F.lit(1).cast("bigint")}, inclusive=False)
+    starts = spark.createDataFrame(first, "bits int, first string")  # a row per length
+    got = join_on(placed, F.broadcast(starts), ["bits"], "inner")
+    whole = F.col("first").cast("decimal(38,0)") + F.col("_i").cast("decimal(38,0)")
+    high, low = F.floor(whole / F.lit(1 << 40)).cast("bigint"), F.pmod(whole, F.lit(1 << 40).cast("decimal(38,0)")).cast("bigint")
+    text = F.concat(F.bin(high), F.lpad(F.bin(low), 40, "0"))
+    return got.select("v", "n", "bits", F.right(F.lpad(text, 128, "0"), F.col("bits")).alias("code"))
+
+
+def huffman_encode(array: DataFrame, codes: DataFrame, often: int = 1 << 16) -> DataFrame:
+    """``(pos, code)``. Values that make up more than one row in ``often`` (fewer than ``often`` of them) get their codes by broadcast, the others by a shuffle."""
+    total = codes.agg(F.sum("n").alias("n")).head()["n"] or 0
+    hot = F.col("n") * often > total
+    known = F.broadcast(codes.where(hot).select("v", F.col("code").alias("_hot")))
+    first = join_on(array.where("v is not null"), known, ["v"])
+    rest = join_on(first.where("_hot is null").drop("_hot"), codes.where(~hot).select("v", "code"), ["v"], "inner")
+    return first.where("_hot is not null").select("pos", F.col("_hot").alias("code")).unionByName(rest.select("pos", "code"))
 
 
 def sizes(array: DataFrame) -> DataFrame:

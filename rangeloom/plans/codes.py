@@ -19,6 +19,16 @@ from .sequences import ARRAY, array
 PACKED = ("gamma", "delta", "fibonacci", "rice:4", "golomb:11", "vbyte", "huffman", "arithmetic", "adaptive", "adaptive_huffman", "rans")
 
 
+#: The code of value v in SQL, for the codes that SQL can write.
+PAYLOADS = {
+    "gamma": "repeat('0', length(ltrim(bin(v + 1), '0')) - 1) || ltrim(bin(v + 1), '0')",
+    "delta": "repeat('0', length(ltrim(bin(length(ltrim(bin(v + 1), '0'))), '0')) - 1) || ltrim(bin(length(ltrim(bin(v + 1), '0'))), '0') || (ltrim(bin(v + 1), '0'))[2:]",
+    "rice:4": "repeat('0', (v >> 4)::INTEGER) || '1' || right(lpad(bin(v & 15), 8, '0'), 4)",
+    "golomb:11": "repeat('0', (v // 11)::INTEGER) || '1' || CASE WHEN v % 11 < 5 THEN right(lpad(bin(v % 11), 8, '0'), 3) ELSE right(lpad(bin(v % 11 + 5), 8, '0'), 4) END",
+    "vbyte": "right(lpad(bin(v), 64, '0'), 8)",
+}
+
+
 def words(spark, d):
     """64-bit words from order keys and prices."""
     return table(spark, d, "orders").selectExpr("o_orderkey as id", "o_orderkey * 2654435761 + cast(round(o_totalprice * 100) as bigint) as x")
@@ -40,6 +50,7 @@ def queries() -> dict:
         return lambda spark, d: f(table(spark, d, "documents"))
 
     packed = {f"packed_{m.replace(':', '_')}": on(array, lambda a, m=m: bs.decode(bs.encode(a, m), m)) for m in PACKED}
+    packed |= {f"payload_{m.replace(':', '_')}": on(array, lambda a, m=m: bs.encode(a, m).select("block", "start", "n", F.hex("payload").alias("payload"))) for m in PAYLOADS}
     return packed | {
         "gamma_bits": number(bits=c.gamma_bits, code=c.gamma_code),
         "delta_bits": number(bits=c.delta_bits, code=c.delta_code),
@@ -91,7 +102,10 @@ def oracle_sql() -> dict[str, str]:
         fib.append(fib[-1] + fib[-2])
     u = "CASE WHEN {0} > 0 THEN 2 * ({0}) - 1 ELSE -2 * ({0}) END"
     top = ARRAY + ", h AS (SELECT v, count(*) n FROM a GROUP BY 1), p AS (SELECT v, n, row_number() OVER (ORDER BY n DESC, v DESC) i FROM h), t AS (SELECT * FROM p WHERE i <= 20 AND (n > 1 OR i <= 8))"
-    return {f"packed_{m.replace(':', '_')}": ARRAY + " SELECT pos, v FROM a" for m in PACKED} | {
+    nibbles = [f"{i:04b}" for i in range(16)]
+    payload = ARRAY + f""", t AS (SELECT pos >> 9 AS block, min(pos) AS start, count(*) AS n, string_agg({{}}, '' ORDER BY pos) b FROM a GROUP BY 1), p AS (SELECT block, start, n, b || repeat('0', (-length(b) % 8 + 8) % 8) b FROM t)
+SELECT block, start, n, array_to_string(list_transform(range(length(b) // 4), lambda i: ('0123456789ABCDEF')[list_position({nibbles}, b[4 * i + 1 : 4 * i + 4])]), '') AS payload FROM p"""
+    return {f"payload_{m.replace(':', '_')}": payload.format(e) for m, e in PAYLOADS.items()} | {f"packed_{m.replace(':', '_')}": ARRAY + " SELECT pos, v FROM a" for m in PACKED} | {
         "gamma_bits": N + " SELECT id, n, (2 * k + 1)::INTEGER AS bits, repeat('0', k) || t AS code FROM y",
         "delta_bits": N + ", z AS (SELECT *, length(ltrim(bin(k + 1), '0')) - 1 m FROM y) SELECT id, n, (2 * m + 1 + k)::INTEGER AS bits, repeat('0', m) || ltrim(bin(k + 1), '0') || t[2:] AS code FROM z",
         "rice_bits": N + " SELECT id, n, (n >> 5) + 6 AS bits FROM y",

@@ -11,6 +11,10 @@ from ..tables import table
 from .signals import SIGNAL, signal
 
 
+#: Draws are below this prime.
+DRAWS = 4294967291
+
+
 def workload(spark, n: int, seed: int, chroms, longest: int = 5_000_000, width: int | None = None):
     """``n`` random regions over chroms ``(chrom, chrom_len)``: ``(region_id, chrom, st, ed, n)``; ``width`` fixes their length.
 
@@ -18,7 +22,8 @@ def workload(spark, n: int, seed: int, chroms, longest: int = 5_000_000, width:
     """
     k = chroms.selectExpr("chrom", "chrom_len", "row_number() over (order by chrom) - 1 as _i")  # the list of chroms is short
     size = chroms.count()
-    r = spark.range(n).select(F.col("id").alias("region_id"), F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(size)).cast("int").alias("_i"), F.pmod(F.xxhash64("id", F.lit(seed + 1)), F.lit(1 << 30)).alias("_u"), F.pmod(F.xxhash64("id", F.lit(seed + 2)), F.lit(1 << 30)).alias("_v"))
+    draw = lambda i: F.expr(f"(id * {2654435761 + 2 * i} + {seed * 40503 + i}) % {DRAWS}")
+    r = spark.range(n).select(F.col("id").alias("region_id"), (draw(0) % size).cast("int").alias("_i"), draw(1).alias("_u"), draw(2).alias("_v"))
     r = r.join(k, "_i")
     length = F.lit(width) if width else 1 + F.expr(f"_v % {longest}")
     st = F.expr("_u % chrom_len")
@@ -49,8 +54,8 @@ def queries() -> dict:
         "annotations": lambda spark, d: table(spark, d, "bed_signal").select("row_id", F.coalesce("annotation", F.lit("")).alias("annotation")),
         "track_meta": lambda spark, d: table(spark, d, "track_info").select("track_id", F.coalesce("meta", F.lit("")).alias("meta")),
         "service_answers": lambda spark, d: service.answers(signal(spark, d), addresses(spark, d)),
-        "workload": lambda spark, d: sg.region_summary(signal(spark, d), workload(spark, 50_000, 7, table(spark, d, "chrom_sizes").select("chrom", "chrom_len"))).select("region_id", "sum", "cov"),
-        "workload_fixed": lambda spark, d: sg.region_summary(signal(spark, d), workload(spark, 50_000, 7, table(spark, d, "chrom_sizes").select("chrom", "chrom_len"), width=5_000_000)).select("region_id", "sum", "cov"),
+        "workload": lambda spark, d: sg.region_summary(signal(spark, d), workload(spark, 50_000, 7, table(spark, d, "chrom_sizes").select("chrom", "chrom_len")), ["sum", "cov"]),
+        "workload_fixed": lambda spark, d: sg.region_summary(signal(spark, d), workload(spark, 50_000, 7, table(spark, d, "chrom_sizes").select("chrom", "chrom_len"), width=5_000_000), ["sum", "cov"]),
         "stream_windows": lambda spark, d: windows.drained(spark, windows.tumbling(events(spark, d), "event_type", "ts", "value")),
         "stream_sessions": lambda spark, d: windows.drained(spark, windows.sessions(events(spark, d), "event_type", "ts", "5 minutes")),
         "stream_changes": lambda spark, d: windows.drained(spark, windows.changes(events(spark, d).selectExpr("user_id", "event_id", "event_type"), "user_id", "event_id", "event_type"), "append"),
@@ -60,11 +65,22 @@ def queries() -> dict:
 KEPT = r"WITH r AS (SELECT line_id, regexp_replace(line, '^[ \t]+|[ \t\r]+$', '', 'g') t FROM bed_lines WHERE line IS NOT NULL AND NOT regexp_matches(line, '^[ \t\r]*($|#|(track|browser)([ \t\r]|$))'))"
 
 
+#: Like the SQL of the region measures, but asked at both ends, since the regions are many.
+WORKLOAD = SIGNAL + """, k AS (SELECT chrom, chrom_len, row_number() OVER (ORDER BY chrom) - 1 i, count(*) OVER () m FROM chrom_sizes),
+d AS (SELECT id, (id * 2654435761 + 283521) % 4294967291 a, (id * 2654435763 + 283522) % 4294967291 u, (id * 2654435765 + 283523) % 4294967291 v FROM range(50000) t(id)),
+w AS (SELECT id region_id, chrom, u % chrom_len st, greatest(u % chrom_len + 1, least(u % chrom_len + {}, chrom_len)) ed FROM d JOIN k ON a % m = i),
+e AS (SELECT region_id, chrom, st p, -1 f FROM w UNION ALL SELECT region_id, chrom, ed, 1 FROM w),
+h AS (SELECT region_id, f, coalesce(sum0 + c.u * (least(c.ed, p) - c.st), 0) s, coalesce(cov0 + least(c.ed, p) - c.st, 0) n FROM e ASOF LEFT JOIN c ON e.chrom = c.chrom AND e.p >= c.st)
+SELECT region_id, sum(f * s) / 1000.0::DOUBLE AS sum, sum(f * n)::BIGINT AS cov FROM h GROUP BY 1"""
+
+
 def oracle_sql() -> dict[str, str]:
     parsed = KEPT + r""", f AS (SELECT line_id, t, regexp_extract(t, '^([^ \t]*)', 1) chrom, TRY_CAST(regexp_extract(t, '^[^ \t]*[ \t]+([+-]?[0-9]{1,18})([ \t]|$)', 1) AS BIGINT) st,
 TRY_CAST(regexp_extract(t, '^[^ \t]*[ \t]+[^ \t]*[ \t]+([+-]?[0-9]{1,18})([ \t]|$)', 1) AS BIGINT) ed, TRY_CAST(regexp_extract(t, '^[^ \t]*[ \t]+[^ \t]*[ \t]+[^ \t]*[ \t]+([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)([ \t]|$)', 1) AS DOUBLE) val,
 nullif(regexp_extract(t, '^[^ \t]*[ \t]+[^ \t]*[ \t]+[^ \t]*[ \t]+[^ \t]*[ \t]+(.*)$', 1), '') annotation FROM r), g AS (SELECT *, coalesce(st < ed AND val IS NOT NULL, false) ok FROM f)"""
     return {
+        "workload": WORKLOAD.format("1 + v % 5000000"),
+        "workload_fixed": WORKLOAD.format("5000000"),
         "bedgraph_lines": SIGNAL + r" SELECT chrom, st, chrom || chr(9) || st || chr(9) || ed || chr(9) || rtrim(regexp_replace(CAST(val AS DECIMAL(30,6))::VARCHAR, '0+$', ''), '.') AS line FROM s",
         "bedgraph_lines_annotated": r"SELECT row_id, chrom || chr(9) || st || chr(9) || ed || chr(9) || CASE WHEN val = 0 THEN '0' ELSE rtrim(regexp_replace(CAST(val AS DECIMAL(30,6))::VARCHAR, '0+$', ''), '.') END || CASE WHEN annotation <> '' THEN chr(9) || annotation ELSE '' END AS line FROM bed_signal WHERE st < ed AND chrom IS NOT NULL AND val IS NOT NULL AND NOT isnan(val)",
         "bed_lines_out": "SELECT feature_id, concat_ws(chr(9), chrom, st, ed, CASE WHEN other <> '' THEN other END) AS line FROM bed_features",

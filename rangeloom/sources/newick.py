@@ -18,11 +18,12 @@ def parse(text: str) -> list[tuple[int, int | None, int, str, float | None]]:
 
     def node() -> int:
         up = stack[-1] if stack else None
-        nodes.append([len(nodes), up, 0 if up is None else sum(1 for x in counts if x == up), "", None])
-        counts.append(up)
+        nodes.append([len(nodes), up, counts.get(up, 0), "", None])
+        if up is not None:
+            counts[up] = counts.get(up, 0) + 1
         return len(nodes) - 1
 
-    counts: list = []
+    counts: dict[int, int] = {}
     at, n = 0, len(text)
     here: int | None = None
     closed = False

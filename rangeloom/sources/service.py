@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from http.server import BaseHTTPRequestHandler, HTTPServer
 from urllib.parse import parse_qs, urlparse
 
 from pyspark.sql import DataFrame
@@ -27,6 +28,15 @@ def requests(addresses: DataFrame, url: str = "url", key: str = "region_id") ->
     return r.withColumn("error", error)
 
 
+def answers_of(signals: dict[str, DataFrame], addresses: DataFrame, url: str = "url", key: str = "region_id") -> DataFrame:
+    """:func:`answers` of several tracks: each address is asked of the track its ``file`` names; 404 where there is none."""
+    named = addresses.withColumn("_file", F.coalesce(F.try_parse_url(F.col(url), F.lit("QUERY"), F.lit("file")), F.lit("")))
+    out = named.where(~F.col("_file").isin(*signals)).select(F.col(key).alias("region_id"), F.lit(404).alias("status"), F.lit("unknown file").alias("body"))
+    for name, signal in signals.items():
+        out = out.unionByName(answers(signal, named.where(F.col("_file") == name), url, key))
+    return out
+
+
 def answers(signal: DataFrame, addresses: DataFrame, url: str = "url", key: str = "region_id") -> DataFrame:
     """``(region_id, status, body)``: 200 and a JSON array of the windows' values (null where there is none), or 400 and the error."""
     r = requests(addresses, url, key).withColumnRenamed(key, "region_id")
@@ -40,9 +50,31 @@ def answers(signal: DataFrame, addresses: DataFrame, url: str = "url", key: str
     return ok.unionByName(r.where("error is not null").select("region_id", F.lit(400).alias("status"), F.col("error").alias("body")))
 
 
-def handle(signal: DataFrame, address: str) -> tuple[int, str]:
-    """The answer to one address."""
+def handle(signal: DataFrame | dict[str, DataFrame], address: str) -> tuple[int, str]:
+    """The answer to one address, of one track or of the one of several that ``file`` names."""
     if not parse_qs(urlparse(address).query):
         return 404, "no query"
-    row = answers(signal, signal.sparkSession.createDataFrame([(0, address)], "region_id bigint, url string")).head()
+    several = isinstance(signal, dict)
+    spark = next(iter(signal.values())).sparkSession if several else signal.sparkSession
+    asked = spark.createDataFrame([(0, address)], "region_id bigint, url string")
+    row = (answers_of if several else answers)(signal, asked).head()
     return row["status"], row["body"]
+
+
+def server(signal: DataFrame | dict[str, DataFrame], port: int, host: str = "127.0.0.1") -> HTTPServer:
+    """An HTTP server that answers summary requests; ``serve_forever`` runs it."""
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self) -> None:
+            status, body = handle(signal, self.path)
+            data = body.encode()
+            self.send_response(status)
+            self.send_header("Content-Type", "application/json" if status == 200 else "text/plain")
+            self.send_header("Content-Length", str(len(data)))
+            self.end_headers()
+            self.wfile.write(data)
+
+        def log_message(self, *_) -> None:
+            pass
+
+    return HTTPServer((host, port), Handler)

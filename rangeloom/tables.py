@@ -13,8 +13,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A folder of this application that all executors share, for tables that cut lineage; it goes when the application ends.
 
-    It lies in the folder that the cluster names in ``spark.checkpoint.dir``. Where that is unset (tests, one machine) a
-    folder below the warehouse folder is set as checkpoint folder and used.
+    It lies in the folder that the cluster names in ``spark.checkpoint.dir``. Where that is unset and the master is local
+    (tests, one machine) a folder below the warehouse folder is set as checkpoint folder and used; a cluster without one
+    raises ``ValueError``, since executors couldn't read each other's local folders.
     """
     context = spark.sparkContext
     known = getattr(context, "_rangeloom_shared", None)
@@ -25,6 +26,8 @@ def shared_dir(spark: SparkSession) -> str:
         own = context._jsc.sc().getCheckpointDir()
         if own.isDefined():
             base = own.get()
+        elif not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         else:
             base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
             context.setCheckpointDir(base)

@@ -38,8 +38,29 @@ def test_sizes(spark):
     r = cd.sizes(array(spark, v)).head()
     assert (r["length"], r["distinct"], r["huffman_bits"]) == (16, 4, 28) and abs(r["entropy_bits"] - 28) < 1e-9
     assert cd.huffman_lengths({1: 5}) == {1: 1} and cd.canonical({5: 1, 2: 2, 9: 2}) == {5: "0", 2: "10", 9: "11"}
-    with pytest.raises(ValueError):
-        cd.huffman_table(array(spark, range(30)), most=10)
+
+
+def test_huffman_groups():
+    rng = random.Random(4)
+    for _ in range(200):
+        counts = {i: rng.choice([1, 1, 1, 2, 3, 5, 8, 13, 100, rng.randint(1, 1000)]) for i in range(rng.randint(1, 60))}
+        times = {}
+        for c in counts.values():
+            times[c] = times.get(c, 0) + 1
+        groups, plain = cd.huffman_groups(times), cd.huffman_lengths(counts)
+        assert {c: sum(x.values()) for c, x in groups.items()} == times
+        assert sum(c * d * k for c, x in groups.items() for d, k in x.items()) == sum(counts[s] * n for s, n in plain.items())
+        assert len(counts) == 1 or sum(k / 2**d for x in groups.values() for d, k in x.items()) == 1
+
+
+def test_huffman_of_many_values(spark):
+    a = spark.range(200_000).select(F.col("id").alias("pos"), F.when(F.col("id") % 3 == 0, F.lit(-7)).otherwise(F.col("id") * 7).cast("bigint").alias("v"))
+    t = cd.huffman_table(a).cache()
+    assert t.count() == 133_334 and t.where("bits <> length(code)").isEmpty() and t.select("code").distinct().count() == 133_334
+    assert abs(t.selectExpr("sum(pow(2.0, -bits))").head()[0] - 1) < 1e-9
+    e = cd.huffman_encode(a, t)
+    assert e.count() == 200_000 and e.agg(F.sum(F.length("code"))).head()[0] == t.agg(F.sum(F.col("n") * F.col("bits"))).head()[0]
+    t.unpersist()
 
 
 def test_top_symbols(spark):

@@ -1,3 +1,6 @@
+import threading
+import urllib.request
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,6 +69,13 @@ def test_service(spark):
     assert service.handle(s, "/x?file=f&op=avg&chrom=c&start=0&end=40&w=4") == (200, "[2.0,null,4.0,null]")
     assert service.handle(s, "/x?op=cov&chrom=c&start=0&end=40") == (200, "[20]")
     assert service.handle(s, "/x?op=cov&chrom=c&start=0&end=40&w=10001")[0] == 400 and service.handle(s, "/x?op=no&chrom=c&start=0&end=4")[0] == 400
+    two = {"f": s, "g": s.limit(0)}
+    assert [service.handle(two, f"/x?file={f}&op=cov&chrom=c&start=0&end=40") for f in "fgh"] == [(200, "[20]"), (200, "[0]"), (404, "unknown file")]
+    web = service.server(two, 0)
+    threading.Thread(target=web.handle_request).start()
+    with urllib.request.urlopen(f"http://127.0.0.1:{web.server_port}/x?file=f&op=max&chrom=c&start=0&end=40") as r:
+        assert (r.status, r.read()) == (200, b"[4.0]")
+    web.server_close()
     assert service.handle(s, "/x?op=avg&chrom=c&start=9&end=4") == (400, "invalid interval") and service.handle(s, "/x")[0] == 404
 
 
