@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..tables import written
 from .sharding import join_on, neighbour, packed, shard_of
 
 #: Positions of a shard: at most so many boundaries are in one bitmap.
@@ -91,7 +92,7 @@ def _periods(df: DataFrame, entity: Sequence[str] = ("track_id", "chrom"), st: s
         [maps.schema[c] for c in ["_k", "shard"]]
         + [T.StructField("st", T.LongType()), T.StructField("ed", T.LongType()), T.StructField("multi", T.BooleanType())]
     )
-    runs = maps.mapInArrow(set_runs, schema)
+    runs = written(maps.mapInArrow(set_runs, schema), "runs")  # read four times: whole and cut runs, each for the periods and their neighbours
     whole = runs.where("st is not null and ed is not null").select("_k", "st", "ed", "multi")
     scan = Window.partitionBy("_k").orderBy("shard", F.col("st").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cut = runs.where("st is null or ed is null")
