@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.sharding import join_on, neighbour, packed, shard_of
+from ..tables import written
 
 #: Positions of a shard.
 SHARD = 1 << 16
@@ -32,6 +33,7 @@ def collapse(
     entity = list(entity)
     rows = packed(df, entity, F.col(st).cast("bigint").alias("_a"), F.col(ed).cast("bigint").alias("_b"), F.when(~F.isnan(val), F.col(val)).alias("_v")).where("_a is not null and _b is not null")
     events = rows.groupBy("_k", "_a", "_b").agg(F.min("_v").alias("_v")).withColumn("_s", shard_of(F.col("_a"), shard_width))
+    events = written(events, "events")  # read for neighbours, positions and ends
 
     # one pass over each shard, one scan of the shards' summaries: predecessor and position
     inner = Window.partitionBy("_k", "_s").orderBy("_a", "_b")
@@ -49,7 +51,7 @@ def collapse(
     # behind an entity's last event: a start that only closes the run before it
     stop = ends.select("_k", F.lit(None).cast("bigint").alias("_s"), F.lit(None).cast("bigint").alias("_a"), F.lit(None).cast("bigint").alias("_b"), F.lit(None).cast("double").alias("_v"), (F.col("_total") + 1).alias("_i"), F.col("_z._b").alias("_pb"), F.col("_z._a").alias("_za"))
     stop = stop.withColumns({"_s": shard_of(F.col("_za"), shard_width)}).drop("_za")
-    ordered = starts.unionByName(stop)
+    ordered = written(starts.unionByName(stop), "starts")  # boundary rows only
     nxt = neighbour(ordered, ["_k"], "_s", ["_i"], ["_i", "_pb"], "_next", ahead=True).where("_a is not null")
     return nxt.select(
         "_k.*", F.col("_a").alias("run_st"), F.col("_next._pb").alias("run_ed"), (F.col("_next._i") - F.col("_i")).alias("n"),
