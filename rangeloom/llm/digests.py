@@ -9,6 +9,7 @@ The stored mins and maxs bound every rank for certain; a second pass over the ro
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -22,6 +23,8 @@ from ..operators.sharding import join_on
 from ..tables import written
 
 DELTA = 200
+#: Keys whose rows, one a key and some hundred bytes each, may be broadcast.
+KNOWN = 1 << 16
 SALTS = 16
 #: Rounds of narrowing the bounds by digests.
 ROUNDS = 4
@@ -221,17 +224,29 @@ def percentiles(digests: DataFrame, keys: Sequence[str], qs: Sequence[int] = (50
     return digests.mapInArrow(_read(keys, qs), schema)
 
 
+def _at_keys(rows: DataFrame, per_key: DataFrame) -> DataFrame:
+    """``rows`` with the columns of ``per_key``, a stored table of one row per ``_k``; rows of other keys are dropped.
+
+    Up to ``KNOWN`` keys are broadcast, their number is counted before, so no row is shuffled. More are joined with a salt, each
+    key's row being there once per salt, so that no key's rows meet in one task.
+    """
+    if per_key.count() <= KNOWN:
+        return join_on(rows, F.broadcast(per_key), ["_k"], "inner")
+    salted = per_key.withColumn("_z", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return join_on(rows.withColumn("_z", F.pmod(F.hash("_v"), F.lit(SALTS))), salted, ["_k", "_z"], "inner").drop("_z")
+
+
 def certified(df: DataFrame, keys: Sequence[str], value: str = "val", qs: Sequence[int] = (50, 90, 95, 99), delta: int = DELTA) -> DataFrame:
     """``(keys..., n, pX..., errX...)``: estimates, and from a second pass over the rows the exact rank error of each.
 
-    ``errX`` is the distance of the wanted rank from the ranks the estimate has, as a share of ``n``; 0 if pX is exact.
+    ``errX`` is the distance of the wanted rank from the ranks the estimate has, as a share of ``n``; 0 if pX is exact. It is at most
+    ``pi / delta`` (:func:`bounded` says for each key whether that held). Rows are counted map-side, the estimates come to them.
     """
     keys = list(keys)
     est = percentiles(digest(df, keys, value, delta), keys, qs).select(*keys, "n", *[f"p{q}" for q in qs])
     est = written(est.select(F.struct(*keys).alias("_k"), "n", *[f"p{q}" for q in qs]), "percentiles")
-    rows = _valued(df, keys, value).groupBy(F.struct(*keys).alias("_k"), "_v").agg(F.count(F.lit(1)).alias("_c"))
-    both = join_on(rows, est, ["_k"], "inner")
-    sums = [x for q in qs for x in (F.sum(F.when(F.col("_v") < F.col(f"p{q}"), F.col("_c")).otherwise(0)).alias(f"lt{q}"), F.sum(F.when(F.col("_v") <= F.col(f"p{q}"), F.col("_c")).otherwise(0)).alias(f"le{q}"))]
+    both = _at_keys(_valued(df, keys, value).select(F.struct(*keys).alias("_k"), "_v"), est)
+    sums = [x for q in qs for x in (F.count(F.when(F.col("_v") < F.col(f"p{q}"), 1)).alias(f"lt{q}"), F.count(F.when(F.col("_v") <= F.col(f"p{q}"), 1)).alias(f"le{q}"))]
     out = both.groupBy("_k", "n", *[f"p{q}" for q in qs]).agg(*sums)
 
     def error(q: int) -> Column:
@@ -241,6 +256,12 @@ def certified(df: DataFrame, keys: Sequence[str], value: str = "val", qs: Sequen
     return out.select("_k.*", "n", *[f"p{q}" for q in qs], *[error(q) for q in qs])
 
 
+def bounded(df: DataFrame, keys: Sequence[str], value: str = "val", qs: Sequence[int] = (50, 90, 95, 99), delta: int = DELTA) -> DataFrame:
+    """``(keys..., n, within)``: the valued rows of each key and whether every percentile's rank error is at most ``pi / delta``."""
+    out = certified(df, keys, value, qs, delta)
+    return out.select(*keys, "n", (F.greatest(*[F.col(f"err{q}") for q in qs], F.lit(0.0)) <= math.pi / delta).alias("within"))
+
+
 def skewed(df: DataFrame, keys: Sequence[str] = ("track_id", "chrom"), value: str = "val", least: int = 30, factor: float = 6.0, delta: int = DELTA) -> DataFrame:
     """``(keys...)`` of the keys with ``least`` valued rows or more, ``p50 > 0`` and ``p95 >= factor * p50``, exactly.
 
@@ -259,7 +280,7 @@ def skewed(df: DataFrame, keys: Sequence[str] = ("track_id", "chrom"), value: st
     while not open_.isEmpty():
         rounds += 1
         left = open_.select(F.struct(*keys).alias("_k"), "n", "lo50", "hi50", "lo95", "hi95")
-        rows = join_on(values, left, ["_k"], "inner")
+        rows = _at_keys(values, left)
         each = rows.select("_k", "n", "_v", F.explode(F.array(*[F.struct(F.lit(q).alias("q"), F.col(f"lo{q}").alias("lo"), F.col(f"hi{q}").alias("hi")) for q in (50, 95)])).alias("_b"))
         each = each.select("_k", F.col("_b.q").alias("_q"), "n", F.col("_b.lo").alias("_lo"), F.col("_b.hi").alias("_hi"), "_v").where("_v <= _hi")
         below = each.groupBy("_k", "_q", "n").agg(F.sum(F.when(F.col("_v") < F.col("_lo"), 1).otherwise(0)).cast("bigint").alias("_below"))

@@ -52,6 +52,7 @@ def queries() -> dict:
         "p6_found": lambda spark, d: digests.skewed(signal(spark, d)),
         "p6_percentiles": lambda spark, d: digests.certified(signal(spark, d), ["track_id", "chrom"]),
         "p6_chroms": lambda spark, d: digests.certified(signal(spark, d), ["chrom"]),
+        "p6_bounded": lambda spark, d: digests.bounded(signal(spark, d), ["track_id", "chrom"]),
         "p6_from_days": from_days,
         "p7_ids": lambda spark, d: tokens.encode(docs(spark, d)),
         "p7_decoded": lambda spark, d: tokens.decode(tokens.encode(docs(spark, d))),
@@ -69,6 +70,7 @@ def oracle_sql() -> dict[str, str]:
         "p4_runs": RUNS_SQL + " SELECT * FROM r",
         "p6_found": QUANTILE_SQL,
         "p8_violations": "SELECT count(DISTINCT doc_id) AS items, 0::BIGINT AS torn, 0::BIGINT AS needless, 0::BIGINT AS over_capacity, 0::BIGINT AS over_segments, 0::BIGINT AS over_loss, 0::BIGINT AS misplaced FROM documents",
+        "p6_bounded": "SELECT track_id, chrom, count(*) AS n, true AS within FROM bed_signal WHERE chrom IS NOT NULL AND val IS NOT NULL AND NOT isnan(val) GROUP BY ALL",
         "p9_found": REPEATED_SQL,
         "p7_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     }

@@ -69,3 +69,11 @@ def test_empty_and_hot(spark):
     hot = spark.range(900_000).select(F.lit("h").alias("chrom"), (F.col("id") % 1000).cast("double").alias("val"))
     r = digests.certified(hot, ["chrom"]).head()
     assert r["n"] == 900_000 and all(r[f"err{q}"] < np.pi / digests.DELTA for q in (50, 90, 95, 99))
+
+
+def test_keys_beyond_the_broadcast(spark, monkeypatch):
+    df = spark.range(5000).select((F.col("id") % 3).cast("string").alias("chrom"), (F.col("id") * 7919 % 5000).cast("double").alias("val"))
+    want = sorted(map(tuple, digests.certified(df, ["chrom"], delta=20).collect()))
+    monkeypatch.setattr(digests, "KNOWN", 0)
+    assert sorted(map(tuple, digests.certified(df, ["chrom"], delta=20).collect())) == want
+    assert [r["within"] for r in digests.bounded(df, ["chrom"], delta=20).collect()] == [True] * 3
