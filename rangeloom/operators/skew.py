@@ -104,3 +104,10 @@ def key_profile(df: DataFrame, key: str = "chrom", st: str = "st", ed: str = "ed
         F.col("_k").alias(key), "rows", F.coalesce("covered", F.lit(0)).cast("bigint").alias("covered"), "valued", "val_min", "val_max",
         s.alias("val_sum"), F.try_divide(s, F.col("valued")).alias("val_mean"), F.sqrt("_var").alias("val_std"),
     )
+
+
+def heavy_profiles(df: DataFrame, key: str = "chrom", st: str = "st", ed: str = "ed", val: str = "val", of: float = 0.05) -> DataFrame:
+    """The rows of :func:`key_profile` of the keys that hold at least ``of`` of all rows (rows with a null key count as rows), exactly."""
+    part = Fraction(of).limit_denominator(1_000_000)
+    least = F.lit(part.numerator * df.count())
+    return key_profile(df, key, st, ed, val).where(F.col("rows") * F.lit(part.denominator) >= least)

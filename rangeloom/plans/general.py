@@ -30,7 +30,7 @@ def queries() -> dict:
     return {
         "p1_found": lambda spark, d: coverage.found(signal(spark, d)),
         "p1_periods": lambda spark, d: coverage.periods_and_gaps(signal(spark, d).where("chrom is not null")),
-        "p2_found": lambda spark, d: skew.heavy_keys(signal(spark, d)).select("chrom"),
+        "p2_found": lambda spark, d: skew.heavy_profiles(signal(spark, d)).select("chrom"),
         "p2_profile": lambda spark, d: skew.key_profile(signal(spark, d)).withColumn("val_std", F.round("val_std", 2)),
         "p3_found": steps(grid.missing_cells),
         "p3_series": steps(grid.regular_series),

@@ -66,6 +66,9 @@ def test_heavy_keys(spark):
     assert {(r["chrom"], r["n"]) for r in skew.heavy_keys(df).collect()} == {("h", 300), ("m", 50)}
     assert {r["chrom"] for r in skew.heavy_keys(df, share=0.3).collect()} == {"h"}
     assert skew.heavy_keys(df.limit(0)).collect() == []
+    for of, want in ((0.05, {("h", 300), ("m", 50)}), (0.3, {("h", 300)})):
+        got = skew.heavy_profiles(df.select("chrom", F.lit(1).alias("st"), F.lit(2).alias("ed"), F.lit(0.5).alias("val")), of=of)
+        assert {(r["chrom"], r["rows"]) for r in got.collect()} == want
 
 
 def test_profile(spark):
@@ -132,3 +135,10 @@ def test_lines(spark):
     assert interval_text.classify(df.limit(0), sizes).collect() == []
     with pytest.raises(ValueError):
         interval_text.classify(df, sizes, keep=("line_id", "chrom"))
+
+
+def test_one_reading_over_very_many_cells(spark):
+    df = spark.createDataFrame([(1, "c", 0, 1_000_000, 2.0), (1, "c", 1_000_003, 1_000_004, 4.0)], "track_id bigint, chrom string, st bigint, ed bigint, val double")
+    steps = spark.createDataFrame([(1, 1)], "track_id bigint, step bigint")
+    each = grid.cells(df, steps)
+    assert each.agg(F.count(F.lit(1)), F.max("cell")).head() == (1_000_001, 1_000_003)
