@@ -58,7 +58,7 @@ def queries() -> dict:
         "workload_fixed": lambda spark, d: sg.region_summary(signal(spark, d), workload(spark, 50_000, 7, table(spark, d, "chrom_sizes").select("chrom", "chrom_len"), width=5_000_000), ["sum", "cov"]),
         "stream_windows": lambda spark, d: windows.drained(spark, windows.tumbling(events(spark, d), "event_type", "ts", "value")),
         "stream_sessions": lambda spark, d: windows.drained(spark, windows.sessions(events(spark, d), "event_type", "ts", "5 minutes")),
-        "stream_changes": lambda spark, d: windows.drained(spark, windows.changes(events(spark, d).selectExpr("user_id", "event_id", "event_type"), "user_id", "event_id", "event_type"), "append"),
+        "stream_changes": lambda spark, d: windows.drained(spark, windows.changes(events(spark, d).selectExpr("user_id", "event_id", "event_type"), "user_id", "event_id", "event_type")),
     }
 
 
@@ -94,9 +94,9 @@ x AS (SELECT *, unnest(range(n)) b FROM e WHERE error IS NULL), y AS (SELECT reg
 CASE WHEN ed - st > n THEN st + (2 * (ed - st) * (b + 1) + n) // (2 * n) ELSE st + ((ed - st) * (2 * b + 1) - 1) // (2 * n) + 1 END b1 FROM x),
 z AS (SELECT region_id, b, coalesce(sum(CASE WHEN s.st IS NOT NULL THEN least(s.ed, b1) - greatest(s.st, b0) END), 0)::BIGINT c FROM y LEFT JOIN s ON y.chrom = s.chrom AND s.st < b1 AND s.ed > b0 GROUP BY ALL)
 SELECT region_id, 200 AS status, '[' || string_agg(c::VARCHAR, ',' ORDER BY b) || ']' AS body FROM z GROUP BY region_id UNION ALL SELECT region_id, 400, error FROM e WHERE error IS NOT NULL""",
-        "stream_windows": "SELECT event_type, time_bucket(INTERVAL 1 HOUR, ts) AS st, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS ed, count(*) AS n, sum(CAST(round(\"value\" * 100) AS BIGINT))::BIGINT AS sum, min(\"value\") AS min, max(\"value\") AS max FROM events GROUP BY ALL",
+        "stream_windows": "WITH w AS (SELECT event_type, time_bucket(INTERVAL 1 HOUR, ts) AS st, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS ed, count(*) AS n, sum(CAST(round(\"value\" * 100) AS BIGINT))::BIGINT AS sum, min(\"value\") AS min, max(\"value\") AS max FROM events GROUP BY ALL) SELECT * FROM w WHERE ed <= (SELECT max(ts) - INTERVAL 2 HOUR FROM events)",
         "stream_sessions": """WITH l AS (SELECT event_type, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 5 MINUTE THEN 0 ELSE 1 END x FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts)),
-g AS (SELECT *, sum(x) OVER (PARTITION BY event_type ORDER BY ts ROWS UNBOUNDED PRECEDING) g FROM l) SELECT event_type, min(ts) AS st, max(ts) + INTERVAL 5 MINUTE AS ed, count(*) AS n FROM g GROUP BY event_type, g""",
+g AS (SELECT *, sum(x) OVER (PARTITION BY event_type ORDER BY ts ROWS UNBOUNDED PRECEDING) g FROM l) SELECT event_type, min(ts) AS st, max(ts) + INTERVAL 5 MINUTE AS ed, count(*) AS n FROM g GROUP BY event_type, g HAVING max(ts) + INTERVAL 5 MINUTE <= (SELECT max(ts) - INTERVAL 2 HOUR FROM events)""",
         "stream_changes": "WITH l AS (SELECT user_id, event_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) p FROM events) SELECT user_id, event_id AS pos, event_type AS \"value\" FROM l WHERE p IS NULL OR p <> event_type",
         "bed_rows": r"""WITH r AS (SELECT line_id, regexp_replace(line, '\r+$', '') t FROM bed_lines WHERE line IS NOT NULL AND NOT regexp_matches(line, '^[ \t\r]*($|#|(track|browser)([ \t\r]|$))')),
 f AS (SELECT line_id, regexp_extract(t, '^([^ \t]*)[ \t]([+-]?[0-9]{1,18})[ \t]([+-]?[0-9]{1,18})(?:[ \t]((?s:.*)))?$', ['a', 'b', 'c', 'd']) m, regexp_matches(t, '^[^ \t]*[ \t][+-]?[0-9]{1,18}[ \t][+-]?[0-9]{1,18}([ \t]|$)') ok FROM r)

@@ -85,11 +85,11 @@ def test_streams(spark, tmp_path):
     for part in range(3):
         df.where(F.col("sec") % 3 * 0 + F.floor(F.col("sec") / 12000) == part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = windows.opened(spark, str(tmp_path / "in"))
-    out = windows.drained(spark, windows.tumbling(stream, "k", "ts", "v", late="1000 hours")).collect()
+    out = windows.drained(spark, windows.tumbling(stream, "k", "ts", "v", late="1000 hours"), "complete").collect()
     assert sum(r["n"] for r in out) == 60 and len(out) == 20 and all(r["n"] == 3 for r in out)
-    s = windows.drained(spark, windows.sessions(windows.opened(spark, str(tmp_path / "in")), "k", "ts", "21 minutes", late="1000 hours")).collect()
+    s = windows.drained(spark, windows.sessions(windows.opened(spark, str(tmp_path / "in")), "k", "ts", "21 minutes", late="1000 hours"), "complete").collect()
     assert sorted((r["k"], r["n"]) for r in s) == [("k0", 30), ("k1", 30)]
-    c = windows.drained(spark, windows.changes(windows.opened(spark, str(tmp_path / "in")), "k", "sec", "state"), "append").collect()
+    c = windows.drained(spark, windows.changes(windows.opened(spark, str(tmp_path / "in")), "k", "sec", "state")).collect()
     want = 0
     for k in ("k0", "k1"):
         last = None
@@ -97,3 +97,23 @@ def test_streams(spark, tmp_path):
             if kk == k and st != last:
                 want, last = want + 1, st
     assert len(c) == want
+
+
+def test_late_rows(spark, tmp_path):
+    import time
+
+    def add(rows):
+        df = spark.createDataFrame(rows, "k string, sec bigint, v double").withColumn("ts", F.timestamp_seconds("sec"))
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(1.1)  # files are taken in order of their times
+
+    hour = 3600
+    add([("a", 10, 1.0), ("a", 20 * hour, 2.0)])
+    add([("a", 21 * hour, 3.0), ("a", 19 * hour + 5, 4.0)])
+    add([("a", 30 * hour, 5.0), ("a", 50, 8.0)])  # the last is late by more than a day
+    stream = windows.opened(spark, str(tmp_path / "in"))
+    one = stream.sparkSession.readStream.schema(stream.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    out = windows.drained(spark, windows.tumbling(one, "k", "ts", "v")).collect()
+    assert sorted((r["n"], r["sum"]) for r in out) == [(1, 100), (1, 200), (1, 300), (1, 400)]  # neither the late row nor the open window
+    got = windows.drained(spark, windows.changes(one, "k", "sec", "v")).collect()
+    assert sorted(r["pos"] for r in got) == [10, 20 * hour, 21 * hour, 30 * hour]
