@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -137,11 +138,12 @@ def _merge(keys: Sequence[str], delta: int):
         c = Centroids(np.repeat(g, size), *(np.concatenate([p[i] for p in parts]) for i in range(4)))
         c = c.clustered(delta) if len(first) < batch.num_rows else Centroids(*(x[np.argsort(c.g, kind="stable")] for x in (c.g, c.mean, c.count, c.low, c.high)))
         row = pa.array(first)
-        return pa.RecordBatch.from_arrays([*(batch.column(k).take(row) for k in keys), pa.array(c.packed(len(first)), pa.binary())], [*keys, "digest"])
+        return pa.RecordBatch.from_arrays([*(batch.column(k).take(row) for k in keys), pa.array(c.packed(len(first)), pa.binary())], schema=batch.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.RecordBatch | None = None  # of the last key, which may go on
         for batch in _tables(batches, lambda b: b.column("digest").nbytes // 16):
+            batch = batch.select([*keys, "digest"])  # the schema that `rest` has
             if rest is not None:
                 batch = pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
             last = np.ones(batch.num_rows, bool)
@@ -240,20 +242,35 @@ def certified(df: DataFrame, keys: Sequence[str], value: str = "val", qs: Sequen
     """``(keys..., n, pX..., errX...)``: estimates, and from a second pass over the rows the exact rank error of each.
 
     ``errX`` is the distance of the wanted rank from the ranks the estimate has, as a share of ``n``; 0 if pX is exact. It is at most
-    ``pi / delta`` (:func:`bounded` says for each key whether that held). Rows are counted map-side, the estimates come to them.
+    ``pi / delta``: keys with a larger one, by ties or by the merging of centroids, are narrowed until their percentiles are exact. Rows
+    are counted map-side, the estimates come to them.
     """
     keys = list(keys)
-    est = percentiles(digest(df, keys, value, delta), keys, qs).select(*keys, "n", *[f"p{q}" for q in qs])
-    est = written(est.select(F.struct(*keys).alias("_k"), "n", *[f"p{q}" for q in qs]), "percentiles")
-    both = _at_keys(_valued(df, keys, value).select(F.struct(*keys).alias("_k"), "_v"), est)
+    p = [f"p{q}" for q in qs]
+    est = written(percentiles(digest(df, keys, value, delta), keys, qs).select(F.struct(*keys).alias("_k"), *_names(qs)), "percentiles")
+    values = _valued(df, keys, value).select(F.struct(*keys).alias("_k"), "_v")
+    both = _at_keys(values, est.select("_k", "n", *p))
     sums = [x for q in qs for x in (F.count(F.when(F.col("_v") < F.col(f"p{q}"), 1)).alias(f"lt{q}"), F.count(F.when(F.col("_v") <= F.col(f"p{q}"), 1)).alias(f"le{q}"))]
-    out = both.groupBy("_k", "n", *[f"p{q}" for q in qs]).agg(*sums)
+    out = both.groupBy("_k", "n", *p).agg(*sums)
 
     def error(q: int) -> Column:
         r = F.ceil(F.col("n") * q / 100)
         return (F.greatest(F.lit(0), r - F.greatest(F.col(f"le{q}"), F.lit(0)), F.col(f"lt{q}") + 1 - r) / F.col("n")).alias(f"err{q}")
 
-    return out.select("_k.*", "n", *[f"p{q}" for q in qs], *[error(q) for q in qs])
+    out = written(out.select("_k", "n", *p, *[error(q) for q in qs]), "errors")
+    near = F.greatest(*[F.col(f"err{q}") for q in qs], F.lit(0.0)) <= math.pi / delta
+    same = F.lit(True)
+    for q in qs:
+        same = same & (F.col(f"lo{q}") == F.col(f"hi{q}"))
+    done = [out.where(near)]
+    left = written(join_on(out.where(~near).select("_k"), est.drop(*p), ["_k"], "inner"), "bounds")
+    rounds = 0
+    while not left.isEmpty():
+        rounds += 1
+        b = written(_nearer(values, left, keys, qs, delta, rounds > ROUNDS), "bounds")
+        done.append(b.where(same).select("_k", "n", *[F.col(f"lo{q}").alias(f"p{q}") for q in qs], *[F.lit(0.0).alias(f"err{q}") for q in qs]))
+        left = b.where(~same)
+    return reduce(DataFrame.unionByName, done).select("_k.*", "n", *p, *[f"err{q}" for q in qs])
 
 
 def bounded(df: DataFrame, keys: Sequence[str], value: str = "val", qs: Sequence[int] = (50, 90, 95, 99), delta: int = DELTA) -> DataFrame:
@@ -280,25 +297,27 @@ def skewed(df: DataFrame, keys: Sequence[str] = ("track_id", "chrom"), value: st
     while not open_.isEmpty():
         rounds += 1
         left = open_.select(F.struct(*keys).alias("_k"), "n", "lo50", "hi50", "lo95", "hi95")
-        rows = _at_keys(values, left)
-        each = rows.select("_k", "n", "_v", F.explode(F.array(*[F.struct(F.lit(q).alias("q"), F.col(f"lo{q}").alias("lo"), F.col(f"hi{q}").alias("hi")) for q in (50, 95)])).alias("_b"))
-        each = each.select("_k", F.col("_b.q").alias("_q"), "n", F.col("_b.lo").alias("_lo"), F.col("_b.hi").alias("_hi"), "_v").where("_v <= _hi")
-        below = each.groupBy("_k", "_q", "n").agg(F.sum(F.when(F.col("_v") < F.col("_lo"), 1).otherwise(0)).cast("bigint").alias("_below"))
-        inner = each.where("_v >= _lo").select("_k.*", "_q", "_v")
-        if rounds > ROUNDS:
-            near = _ranked(below, inner, keys)
-        else:
-            again = merge(inner.mapInArrow(_make([*keys, "_q"], delta), _schema(inner, [*keys, "_q"])), [*keys, "_q"], delta)
-            again = again.select(F.struct(*keys).alias("_k"), "_q", "digest")
-            near = join_on(below, again, ["_k", "_q"], "inner").mapInArrow(_narrowed, T.StructType([below.schema["_k"], below.schema["_q"], below.schema["n"], T.StructField("lo", T.DoubleType()), T.StructField("hi", T.DoubleType())]))
-        at = lambda c, q: F.max(F.when(F.col("_q") == q, F.col(c))).alias(f"{c}{q}")
-        b = written(near.groupBy("_k", "n").agg(at("lo", 50), at("hi", 50), at("lo", 95), at("hi", 95)).select("_k.*", "n", "lo50", "hi50", "lo95", "hi95"), "bounds")
+        b = written(_nearer(values, left, keys, (50, 95), delta, rounds > ROUNDS).select("_k.*", "n", "lo50", "hi50", "lo95", "hi95"), "bounds")
         done.append(b.where(yes).select(*keys))
         open_ = b.where(~yes & ~no)
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out
+    return reduce(DataFrame.unionByName, done)
+
+
+def _nearer(values: DataFrame, left: DataFrame, keys: Sequence[str], qs: Sequence[int], delta: int, exactly: bool) -> DataFrame:
+    """``(_k, n, loX, hiX ...)`` of the keys of ``left``, a stored table with these columns, by a pass over ``(_k, _v)``: bounds
+    from a digest of the values between the bounds, or, ``exactly``, each distinct one counted."""
+    rows = _at_keys(values, left)
+    each = rows.select("_k", "n", "_v", F.explode(F.array(*[F.struct(F.lit(q).alias("q"), F.col(f"lo{q}").alias("lo"), F.col(f"hi{q}").alias("hi")) for q in qs])).alias("_b"))
+    each = each.select("_k", F.col("_b.q").alias("_q"), "n", F.col("_b.lo").alias("_lo"), F.col("_b.hi").alias("_hi"), "_v").where("_v <= _hi")
+    below = each.groupBy("_k", "_q", "n").agg(F.sum(F.when(F.col("_v") < F.col("_lo"), 1).otherwise(0)).cast("bigint").alias("_below"))
+    inner = each.where("_v >= _lo").select("_k.*", "_q", "_v")
+    if exactly:
+        near = _ranked(below, inner, keys)
+    else:
+        again = merge(inner.mapInArrow(_make([*keys, "_q"], delta), _schema(inner, [*keys, "_q"])), [*keys, "_q"], delta)
+        again = again.select(F.struct(*keys).alias("_k"), "_q", "digest")
+        near = join_on(below, again, ["_k", "_q"], "inner").mapInArrow(_narrowed, T.StructType([below.schema["_k"], below.schema["_q"], below.schema["n"], T.StructField("lo", T.DoubleType()), T.StructField("hi", T.DoubleType())]))
+    return near.groupBy("_k", "n").agg(*[F.max(F.when(F.col("_q") == q, F.col(c))).alias(f"{c}{q}") for q in qs for c in ("lo", "hi")])
 
 
 def _ranked(below: DataFrame, inner: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,3 +78,53 @@ def test_keys_beyond_the_broadcast(spark, monkeypatch):
     monkeypatch.setattr(digests, "KNOWN", 0)
     assert sorted(map(tuple, digests.certified(df, ["chrom"], delta=20).collect())) == want
     assert [r["within"] for r in digests.bounded(df, ["chrom"], delta=20).collect()] == [True] * 3
+
+
+def test_merge_gathers_more_than_once(spark):
+    """More digests in one task than it gathers at once; keys go on from one gathering to the next."""
+    n, many = 24_000, 40
+    df = spark.range(n * many, numPartitions=8).select((F.col("id") % n).alias("track_id"), F.lit("c").alias("chrom"), F.floor(F.col("id") / n).cast("double").alias("val"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        made = digests.digest(df, ["track_id", "chrom"])
+        got = digests.percentiles(made, ["track_id", "chrom"]).groupBy("n", "lo50", "hi50", "lo95", "hi95").count().collect()
+        assert [tuple(r) for r in got] == [(many, 19.0, 19.0, 37.0, 37.0, n)]
+        again = digests.percentiles(digests.merge(made.select("digest", "chrom", F.coalesce("track_id", F.lit(0)).alias("track_id")), ["chrom"]), ["chrom"]).head()
+        assert again["n"] == n * many and again["lo50"] <= 19 <= again["hi50"] and again["lo95"] <= 37 <= again["hi95"]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_merge_of_batches_in_any_order_of_columns(monkeypatch):
+    """A key whose digests lie in several gatherings comes out once, in columns that may not be null too."""
+    monkeypatch.setattr(digests, "GATHER", 1)
+    values = [np.arange(5 * i, 5 * i + 5, dtype=float) for i in range(6)]
+    blobs = [digests.Centroids.of_values(np.zeros(5, np.int64), v).packed(1)[0] for v in values]
+    schema = pa.schema([pa.field("chrom", pa.string(), False), pa.field("digest", pa.binary()), pa.field("_salt", pa.int32(), False)])
+    chrom, salt = ["a", "a", "a", "b", "b", "c"], [0, 0, 1, 1, 1, 1]
+    batches = [pa.RecordBatch.from_arrays([pa.array([c]), pa.array([b]), pa.array([s], pa.int32())], schema=schema) for c, b, s in zip(chrom, blobs, salt)]
+    out = [r for b in digests._merge(["chrom", "_salt"], 200)(iter(batches)) for r in b.to_pylist()]
+    assert [(r["chrom"], r["_salt"], digests.unpack(r["digest"])[0].tolist()) for r in out] == [
+        ("a", 0, list(range(10))), ("a", 1, list(range(10, 15))), ("b", 1, list(range(15, 25))), ("c", 1, list(range(25, 30)))
+    ]
+
+
+@pytest.mark.parametrize("rounds", [0, 4])
+def test_every_error_within_the_bound(spark, monkeypatch, rounds):
+    """Means of uneven centroids, whose ranks are two off in about a hundred: more than pi / delta."""
+    monkeypatch.setattr(digests, "ROUNDS", rounds)
+    parts = {}
+    for seed in (267, 2144, 1):
+        rng = np.random.default_rng(seed)
+        n = int(rng.integers(80, 127))
+        parts[str(seed)] = np.round(rng.lognormal(0, 2, n), 3)
+    df = spark.createDataFrame([(k, float(x)) for k, v in parts.items() for x in v], "chrom string, val double").coalesce(1)
+    cert = {r["chrom"]: r for r in digests.certified(df, ["chrom"]).collect()}
+    assert set(cert) == set(parts)
+    for k, v in parts.items():
+        for q in (50, 90, 95, 99):
+            p, rank = cert[k][f"p{q}"], max(1, -(-len(v) * q // 100))
+            err = max(0, rank - (v <= p).sum(), (v < p).sum() + 1 - rank) / len(v)
+            assert math.isclose(cert[k][f"err{q}"], err, abs_tol=1e-12) and err <= math.pi / digests.DELTA
+    assert sorted(map(tuple, digests.bounded(df, ["chrom"]).collect())) == sorted((k, len(v), True) for k, v in parts.items())
